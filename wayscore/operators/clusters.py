@@ -45,21 +45,36 @@ def cluster(
     max_iter: int = 300,
     tol: float = 1e-4,
     scale: bool = True,
+    collapse: bool = False,
 ) -> DataFrame:
     """Add the K-means ``cluster`` of each row.
 
     The rows are stored first: the iterations, the final assignment and any
-    executor that is lost on the way then start from files.
+    executor that is lost on the way then start from files. With ``collapse``
+    equal rows, such as all the stalls, are fitted as one row with a weight,
+    which is the same problem over less data.
     """
     require_columns(df, columns)
     rows = store(df, "cluster-input")
     inputs = [f"{c}_std" for c in columns] if scale else list(columns)
     ready = standardise(rows, columns) if scale else rows
-    vectors = VectorAssembler(inputCols=inputs, outputCol="vector").transform(ready)
-    model = KMeans(
-        featuresCol="vector", predictionCol="cluster", k=k, seed=seed, maxIter=max_iter, tol=tol
-    ).fit(vectors)
-    return model.transform(vectors).select(*df.columns, "cluster")
+    assembler = VectorAssembler(inputCols=inputs, outputCol="vector")
+    # The row solver also works when there are fewer different rows than clusters.
+    means = KMeans(
+        featuresCol="vector",
+        predictionCol="cluster",
+        k=k,
+        seed=seed,
+        maxIter=max_iter,
+        tol=tol,
+        solver="row",
+    )
+    if collapse:
+        weighted = ready.groupBy(*inputs).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        model = means.setWeightCol("weight").fit(assembler.transform(weighted))
+    else:
+        model = means.fit(assembler.transform(ready))
+    return model.transform(assembler.transform(ready)).select(*df.columns, "cluster")
 
 
 def cluster_means(df: DataFrame, value: str, by: str = "cluster") -> DataFrame:

@@ -70,31 +70,57 @@ def drift(
     )
 
 
+# A sampled city's early rows are spread over tasks of this many rows.
+SAMPLE_TASK_ROWS = 5_000_000
+
+
 def systematic_sample(
-    points: DataFrame, every: int = 10, per_city: int = 500, salts: int = 64
+    points: DataFrame,
+    every: int = 10,
+    per_city: int = 500,
+    bin_seconds: int = 3600,
+    task_rows: int = SAMPLE_TASK_ROWS,
 ) -> DataFrame:
     """Every n-th normal point of a city in time order, the first ``per_city``.
 
     Only the first ``every * (per_city - 1) + 1`` points of a city can be in
-    the sample. They are found per (city, salt) first, so a city with most of
-    the rows is spread over many tasks, and then among those survivors.
+    the sample. Counts per city and time bin, added up on the map side, tell up
+    to which bin they reach; later rows are dropped by a filter. The remaining
+    rows are cut to the needed number per (city, salt) and then per city, with
+    as many salts as a city with very many early rows asks for. Every step
+    keeps a superset of the needed points, so the sample is exact.
     """
     order = track_order(points)
     needed = every * (per_city - 1) + 1
-    salted = normal_points(points).withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    partial = Window.partitionBy("city", "salt").orderBy(*order)
-    final = Window.partitionBy("city").orderBy(*order)
-    kept = (
-        salted.withColumn("n", F.row_number().over(partial))
-        .filter(F.col("n") <= needed)
-        .drop("n", "salt")
+    # Rows without a time come first, as they do in the order.
+    time_bin = F.coalesce(F.floor(F.col("timestamp") / bin_seconds), F.lit(-(1 << 62)))
+    binned = normal_points(points).withColumn("bin", time_bin)
+    counted = binned.groupBy("city", "bin").agg(F.count(F.lit(1)).alias("rows"))
+    so_far = Window.partitionBy("city").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    reach = store(
+        counted.withColumn("seen", F.sum("rows").over(so_far))
+        .filter(F.col("seen") - F.col("rows") < needed)
+        .groupBy(F.col("city").alias("reach_city"))
+        .agg(F.max("bin").alias("last_bin"), F.max("seen").alias("early_rows")),
+        "sample-reach",
     )
+    limits = reach.agg(F.max("early_rows").alias("rows"), F.max("last_bin").alias("bin")).first()
+    salts = (limits["rows"] or 0) // task_rows + 1
+    early = binned.filter(F.col("bin") <= F.lit(limits["bin"])).join(
+        reach, binned["city"].eqNullSafe(reach["reach_city"]) & (F.col("bin") <= F.col("last_bin"))
+    )
+
+    def first_points(df: DataFrame, *keys: str) -> DataFrame:
+        at = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("n", F.row_number().over(at)).filter(F.col("n") <= needed)
+
+    if salts > 1:
+        salted = early.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+        early = first_points(salted, "city", "salt")
     return (
-        kept.withColumn("n", F.row_number().over(final))
-        .filter(F.col("n") <= needed)
+        first_points(early, "city")
         .filter((F.col("n") - 1) % every == 0)
-        .withColumn("sample_no", ((F.col("n") - 1) / every + 1).cast("long"))
-        .drop("n")
+        .select(*points.columns, ((F.col("n") - 1) / every + 1).cast("long").alias("sample_no"))
     )
 
 

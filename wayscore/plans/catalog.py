@@ -285,7 +285,7 @@ def driver_clusters_unscaled(spark, sf_dir):
 @query
 def step_clusters(spark, sf_dir):
     steps = _steps(spark, sf_dir).select("event_id", *fixed.STEP_FEATURES)
-    return clusters.cluster(steps, fixed.STEP_FEATURES)
+    return clusters.cluster(steps, fixed.STEP_FEATURES, collapse=True)
 
 
 @query
