@@ -93,7 +93,8 @@ def systematic_sample(
     order = track_order(points)
     needed = every * (per_city - 1) + 1
     # Rows without a time come first, as they do in the order.
-    time_bin = F.coalesce(F.floor(F.col("timestamp") / bin_seconds), F.lit(-(1 << 62)))
+    no_time = -(1 << 62)
+    time_bin = F.coalesce(F.floor(F.col("timestamp") / bin_seconds), F.lit(no_time))
     binned = normal_points(points).withColumn("bin", time_bin)
     counted = binned.groupBy("city", "bin").agg(F.count(F.lit(1)).alias("rows"))
     so_far = Window.partitionBy("city").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -106,7 +107,11 @@ def systematic_sample(
     )
     limits = reach.agg(F.max("early_rows").alias("rows"), F.max("last_bin").alias("bin")).first()
     salts = (limits["rows"] or 0) // task_rows + 1
-    early = binned.filter(F.col("bin") <= F.lit(limits["bin"])).join(
+    # A bound on the time itself lets the scan skip row groups.
+    in_time = F.col("timestamp").isNull()
+    if limits["bin"] is not None and limits["bin"] > no_time:
+        in_time |= F.col("timestamp") < (limits["bin"] + 1) * bin_seconds
+    early = binned.filter(in_time).join(
         reach, binned["city"].eqNullSafe(reach["reach_city"]) & (F.col("bin") <= F.col("last_bin"))
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayscore import fixed
+from wayscore.session import ship_package
 
 # texts -> [(label, score)]
 TextModel = Callable[[list[str]], list[tuple[str, float]]]
@@ -110,6 +111,7 @@ def score_by_text(
     df: DataFrame, text: Column, load_model: Callable[[], TextModel] = load_rule_model
 ) -> DataFrame:
     """Add the sentiment of ``text`` through a batch model."""
+    ship_package(df.sparkSession)
     scored = df.withColumn("scored", text_sentiment(load_model)(text))
     return scored.select(*df.columns, "scored.*")
 
@@ -122,6 +124,7 @@ def score_partitions(
     load_model: Callable[[], TextModel] = load_rule_model,
 ) -> DataFrame:
     """Split into ``partitions`` even parts by record id and score each part."""
+    ship_package(df.sparkSession)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

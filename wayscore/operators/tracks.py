@@ -35,14 +35,16 @@ def track_order(points: DataFrame) -> list[str]:
 def hot_tracks(points: DataFrame, key: str = "user_id", hot_rows: int = HOT_TRACK_ROWS):
     """``[(key, rows)]`` of the tracks too big for one task.
 
-    Reads the key column only and counts before it shuffles. At most
-    ``MAX_HOT_TRACKS`` tracks can exceed the second limit.
+    Reads the key column only and counts before it shuffles. The list is short:
+    it holds the ``MAX_HOT_TRACKS`` largest at most, and a track beyond those
+    has less than that fraction of all rows.
     """
-    sizes = points.groupBy(key).agg(F.count(F.lit(1)).alias("track_rows"))
-    share = sizes.agg(F.sum("track_rows") / MAX_HOT_TRACKS).scalar()
     return (
-        sizes.filter((F.col("track_rows") > hot_rows) & (F.col("track_rows") > share))
-        .select(F.col(key).alias("hot_key"), "track_rows")
+        points.groupBy(F.col(key).alias("hot_key"))
+        .agg(F.count(F.lit(1)).alias("track_rows"))
+        .filter(F.col("track_rows") > hot_rows)
+        .orderBy(F.desc("track_rows"))
+        .limit(MAX_HOT_TRACKS)
         .collect()
     )
 

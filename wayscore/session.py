@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +55,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = f"{tempfile.mkdtemp(prefix='wayscore-')}/{package.name}"
+        spark.sparkContext.addPyFile(
+            shutil.make_archive(archive, "zip", package.parent, package.name)
+        )
+        _shipped.add(app)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
