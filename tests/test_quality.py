@@ -91,8 +91,12 @@ def test_a_box_without_extent_is_core(points):
 
 
 def test_grid(points):
-    rows = [(1, "u", 1, 0.011, -0.001, "T"), (2, "u", 2, 0.019, -0.009, "T")]
-    grid = quality.grid_density(tracks.add_steps(points(rows)), 0.01).collect()
-    assert [(r["lat_cell"], r["lon_cell"], r["n_points"], r["stuck_count"]) for r in grid] == [
-        (1, -1, 2, 1)
+    rows = [
+        (1, "u", 1, 0.011, -0.001, "T"),
+        (2, "u", 2, 0.019, -0.009, "T"),
+        (3, "v", 1, float("nan"), 0.001, "T"),
+        (4, "w", 1, None, 0.001, "T"),
     ]
+    grid = quality.grid_density(tracks.add_steps(points(rows)), 0.01).collect()
+    cells = {(r["lat_cell"], r["lon_cell"]): (r["n_points"], r["stuck_count"]) for r in grid}
+    assert cells == {(1, -1): (2, 1), (None, 0): (2, 2)}

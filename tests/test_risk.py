@@ -140,7 +140,7 @@ def test_partitions_are_mapped_whole(spark):
     rows = [(i, "d", float(i % 50) if i % 5 else None, i % 9) for i in range(400)]
     df = spark.createDataFrame(rows, "request_id long, driver_id string, speed double, stuck_count int")
     texts = df.withColumn("text", request_text())
-    scored = scoring.score_partitions(texts, "text", 6, "request_id")
+    scored = scoring.score_partitions(texts, "text", "request_id", partitions=6)
     assert scored.rdd.getNumPartitions() == 6
     found = {r["request_id"]: r for r in scored.collect()}
     rule = {r["request_id"]: r for r in scoring.score_by_rule(df, "speed").collect()}
@@ -149,3 +149,21 @@ def test_partitions_are_mapped_whole(spark):
         assert (row["sentiment"], row["score"], row["error"]) == (
             rule[key]["sentiment"], rule[key]["score"], rule[key]["error"]
         )
+
+
+def test_a_worker_loads_its_model_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def counted_model():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [("POSITIVE", 0.5)] * len(texts)
+
+    df = spark.range(0, 4000, 1, 60).select(F.concat(F.lit("text "), "id").alias("text"))
+    for _ in range(2):
+        scored = scoring.score_by_text(df, F.col("text"), counted_model)
+        assert scored.filter("sentiment = 'POSITIVE'").count() == 4000
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) < 60

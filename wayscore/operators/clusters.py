@@ -84,7 +84,7 @@ def cluster_means(df: DataFrame, value: str, by: str = "cluster") -> DataFrame:
 def lowest_and_highest(means: DataFrame, by: str = "cluster") -> DataFrame:
     """The groups of lowest and highest mean, the first of equals, in one row."""
     low = F.min(F.struct("mean_value", by))
-    # max over the negated mean's minimum keeps the lowest key among equals.
+    # The smallest negated mean belongs to the highest, lowest key first.
     high = F.min(F.struct((-F.col("mean_value")).alias("negated"), by))
     return means.agg(low[by].alias("lowest"), high[by].alias("highest"))
 
@@ -97,11 +97,10 @@ def label_clusters(
     normal: str = fixed.LABEL_NORMAL,
 ) -> DataFrame:
     """Slowest cluster, fastest cluster and the rest; a lone cluster is good."""
-    ends = lowest_and_highest(cluster_means(df, value))
-    lowest, highest = ends.select("lowest").scalar(), ends.select("highest").scalar()
+    ends = lowest_and_highest(cluster_means(df, value)).select(F.struct("*")).scalar()
     label = (
-        F.when(F.col("cluster") == highest, good)
-        .when(F.col("cluster") == lowest, risk)
+        F.when(F.col("cluster") == ends["highest"], good)
+        .when(F.col("cluster") == ends["lowest"], risk)
         .otherwise(normal)
     )
     return df.withColumn("label", label)

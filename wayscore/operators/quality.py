@@ -130,10 +130,17 @@ def systematic_sample(
 
 
 def grid_density(steps: DataFrame, cell_degrees: float = 0.005) -> DataFrame:
-    """Points, stalls and mean step per grid cell; counted before the shuffle."""
+    """Points, stalls and mean step per grid cell; counted before the shuffle.
+
+    Points without a coordinate are counted under a NULL cell.
+    """
+
+    def cell(degrees: str):
+        return F.floor(F.when(~F.isnan(degrees), F.col(degrees)) / cell_degrees)
+
     return (
-        steps.withColumn("lat_cell", F.floor(F.col("latitude") / cell_degrees))
-        .withColumn("lon_cell", F.floor(F.col("longitude") / cell_degrees))
+        steps.withColumn("lat_cell", cell("latitude"))
+        .withColumn("lon_cell", cell("longitude"))
         .groupBy("lat_cell", "lon_cell")
         .agg(
             F.count(F.lit(1)).alias("n_points"),

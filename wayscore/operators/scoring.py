@@ -7,11 +7,13 @@ of a failure on that record.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,19 +90,31 @@ def _classify(model: TextModel | None, texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["sentiment", "score", "error"], index=texts.index)
 
 
-def _load(load_model: Callable[[], TextModel]) -> TextModel | None:
-    try:
-        return load_model()
-    except Exception:
-        return None
+# The models of this Python worker; workers live on from task to task.
+_loaded: dict[str, TextModel] = {}
+
+
+def _load(key: str, load_model: Callable[[], TextModel]) -> TextModel | None:
+    """The worker's model, loaded at its first task; None if that fails."""
+    if key not in _loaded:
+        try:
+            _loaded[key] = load_model()
+        except Exception:
+            return None
+    return _loaded[key]
+
+
+def _key(load_model: Callable[[], TextModel]) -> str:
+    return hashlib.sha256(cloudpickle.dumps(load_model)).hexdigest()
 
 
 def text_sentiment(load_model: Callable[[], TextModel]):
-    """A Pandas UDF over status texts; the model is loaded once per task."""
+    """A Pandas UDF over status texts; the model is loaded once per worker."""
+    key = _key(load_model)
 
     @F.pandas_udf(SCORE_FIELDS)
     def sentiment(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = _load(load_model)
+        model = _load(key, load_model)
         for texts in batches:
             yield _classify(model, texts)
 
@@ -119,16 +133,21 @@ def score_by_text(
 def score_partitions(
     df: DataFrame,
     text: str,
-    partitions: int,
     record_id: str,
+    partitions: int | None = None,
     load_model: Callable[[], TextModel] = load_rule_model,
 ) -> DataFrame:
-    """Split into ``partitions`` even parts by record id and score each part."""
+    """Split into even parts by the unique record id and score each part.
+
+    Without ``partitions`` there are as many as the session shuffles into.
+    """
     ship_package(df.sparkSession)
+    key = _key(load_model)
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _load(load_model)
+        model = _load(key, load_model)
         for batch in batches:
             yield pd.concat([batch, _classify(model, batch[text])], axis=1)
 

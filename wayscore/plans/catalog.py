@@ -211,7 +211,7 @@ def report_status(spark, sf_dir):
 @query
 def partitioned_map(spark, sf_dir):
     texts = _requests(spark, sf_dir).withColumn("text", request_text())
-    scored = scoring.score_partitions(texts, "text", 16, "request_id")
+    scored = scoring.score_partitions(texts, "text", "request_id")
     return scored.select("request_id", "driver_id", "sentiment", "score", "error")
 
 
