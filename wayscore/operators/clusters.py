@@ -28,13 +28,14 @@ def standardise(df: DataFrame, columns: Sequence[str], suffix: str = "_std") ->
     moments = [
         F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c) for c in columns
     ]
-    stats = df.agg(F.struct(*moments).alias("stats")).scalar()
+    stats = df.agg(F.struct(*moments)).scalar()
 
     def scaled(column: str) -> Column:
-        mean, sd = stats[column]["mean"], stats[column]["sd"]
+        mean, sd = F.col(f"_stats.{column}.mean"), F.col(f"_stats.{column}.sd")
         return F.when(sd > 0, (F.col(column) - mean) / sd).otherwise(0.0)
 
-    return df.withColumns({f"{c}{suffix}": scaled(c) for c in columns})
+    with_stats = df.withColumn("_stats", stats)
+    return with_stats.withColumns({f"{c}{suffix}": scaled(c) for c in columns}).drop("_stats")
 
 
 def cluster(
@@ -99,11 +100,11 @@ def label_clusters(
     """Slowest cluster, fastest cluster and the rest; a lone cluster is good."""
     ends = lowest_and_highest(cluster_means(df, value)).select(F.struct("*")).scalar()
     label = (
-        F.when(F.col("cluster") == ends["highest"], good)
-        .when(F.col("cluster") == ends["lowest"], risk)
+        F.when(F.col("cluster") == F.col("_ends.highest"), good)
+        .when(F.col("cluster") == F.col("_ends.lowest"), risk)
         .otherwise(normal)
     )
-    return df.withColumn("label", label)
+    return df.withColumn("_ends", ends).withColumn("label", label).drop("_ends")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
