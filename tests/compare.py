@@ -27,7 +27,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "NaN" if math.isnan(value) else round(value, 9) + 0.0
+        return "NaN" if math.isnan(value) else value + 0.0
     return value
 
 

@@ -19,7 +19,7 @@ def test_anomalies_split_completely(points):
     assert counts == {"Taipei": (2, 1), None: (1, 0)}
 
 
-def test_drift_catches_points_around_the_origin(points):
+def test_drift_catches_points_around_the_origin(spark, points):
     df = points(
         [
             (1, "a", 1, 25.03, 121.56, "Taipei"),
@@ -30,6 +30,10 @@ def test_drift_catches_points_around_the_origin(points):
     )
     found = {r["event_id"]: r["is_drift"] for r in quality.drift(df).collect()}
     assert found == {1: False, 2: True, 3: True, 4: None}
+    table = spark.createDataFrame(
+        [("Taipei", 25.0330, 121.5654)], "city string, home_lat double, home_lon double"
+    )
+    assert {r["event_id"]: r["is_drift"] for r in quality.drift(df, table).collect()} == found
     assert quality.anomaly_points(df).count() == 1
 
 

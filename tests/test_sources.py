@@ -2,6 +2,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayscore import schemas, session
 from wayscore.sources import files, tables
@@ -44,6 +45,17 @@ def test_json_lines_and_arrays(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(MATRIX)
 
 
+@pytest.mark.parametrize("n", [0, 1, 250])
+def test_json_array_report_in_order(spark, tmp_path, n):
+    rows = [(f"城{i % 7}", f"u{i:03d}", 0.5, i, None, float(i % 60)) for i in range(n)]
+    df = spark.createDataFrame(rows, schemas.DECISION_MATRIX).repartition(5)
+    files.write_json_array(df, str(tmp_path / "report"), F.desc("final_score"), F.asc("user_id"))
+    parts = sorted((tmp_path / "report").glob("part-*"))
+    found = json.loads("".join(p.read_text("utf-8") for p in parts))
+    rows.sort(key=lambda r: (-r[5], r[1]))
+    assert [tuple(r[c] for c in df.columns) for r in found] == rows
+
+
 def test_first_available_source(spark, tmp_path):
     df = spark.createDataFrame(MATRIX, schemas.DECISION_MATRIX)
     parquet, lines = str(tmp_path / "m.parquet"), str(tmp_path / "m.json")

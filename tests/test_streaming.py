@@ -37,7 +37,7 @@ def test_failed_requests_are_rows(spark):
     df = spark.createDataFrame(REQUESTS, schemas.DRIVER_REQUESTS)
     for row in streaming.result_rows(df).collect():
         if row["request_id"] % 7 == 0:
-            assert (row["status"], row["error"], row["risk_level"]) == ("Failure", "missing input", None)
+            assert (row["status"], row["error"], row["risk_level"]) == ("Failed", "missing input", None)
         else:
             assert row["status"] == "Success" and row["risk_level"] in ("High Risk", "Safe")
 

@@ -60,7 +60,8 @@ OBSERVE_ADVICE = "🟢 表現尚可，建議持續觀察路況影響。"
 INTERVIEW_ACTION = "建議安排安全教育面談"
 OBSERVE_ACTION = "觀察其塞車情況是否緩解"
 
-# -- fixed values: request states --------------------------------------------
+# -- fixed values: states of a result and of a request -----------------------
+FAILED = "Failed"
 PENDING = "Pending"
 SUCCESS = "Success"
 FAILURE = "Failure"

@@ -46,27 +46,26 @@ def nan_report(steps: DataFrame) -> DataFrame:
 
 def drift(
     points: DataFrame,
-    homes: Sequence[tuple[str, float, float]] = fixed.HOME_COORDINATES,
+    homes: DataFrame | Sequence[tuple[str, float, float]] = fixed.HOME_COORDINATES,
     limit_km: float = 100.0,
 ) -> DataFrame:
     """Distance of every point from its city's home coordinate.
 
     Also catches points that wander around (0, 0) after a jump, which the exact
-    test misses. ``homes`` is a literal list, so its broadcast cannot grow with
-    the data; a city without a home gets NULL.
+    test misses. A city without a home gets NULL. ``homes`` is a short list, which
+    becomes a literal in the plan, or a table ``city, home_lat, home_lon``, which
+    is joined in the way its size asks for.
     """
-    table = points.sparkSession.createDataFrame(
-        list(homes), "city string, home_lat double, home_lon double"
-    )
-    km = F.when(
-        F.col("home_lat").isNotNull(),
-        distance_km("home_lat", "home_lon", "latitude", "longitude"),
-    )
-    return (
-        points.join(F.broadcast(table), "city", "left")
-        .withColumn("home_km", km)
-        .withColumn("is_drift", F.col("home_km") > limit_km)
-        .drop("home_lat", "home_lon")
+    if isinstance(homes, DataFrame):
+        placed = points.join(homes, "city", "left")
+        lat, lon = F.col("home_lat"), F.col("home_lon")
+    else:
+        pairs = [F.lit(p) for c, *home in homes for p in (c, home)]
+        placed = points.withColumn("_home", F.try_element_at(F.create_map(*pairs), "city"))
+        lat, lon = F.col("_home")[0], F.col("_home")[1]
+    km = F.when(lat.isNotNull(), distance_km(lat, lon, "latitude", "longitude"))
+    return placed.select(
+        *points.columns, km.alias("home_km"), (km > limit_km).alias("is_drift")
     )
 
 

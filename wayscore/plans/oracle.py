@@ -101,7 +101,7 @@ results AS (
     CASE WHEN error IS NULL THEN
       CASE WHEN sentiment = 'NEGATIVE' THEN 'High Risk' ELSE 'Safe' END END AS risk_level,
     score AS ai_confidence, error,
-    CASE WHEN error IS NULL THEN 'Success' ELSE 'Failure' END AS status, requested_at
+    CASE WHEN error IS NULL THEN 'Success' ELSE 'Failed' END AS status, requested_at
   FROM scored
 )"""
 )
@@ -323,7 +323,9 @@ ORDER BY average_speed, driver_id LIMIT 500""",
     "stream_risk_scores": f"""WITH {RESULTS}
 SELECT request_id, driver_id, risk_level, ai_confidence, error, status FROM results""",
     "request_status": f"""WITH {RESULTS}
-SELECT requests.request_id, requests.driver_id, coalesce(status, 'Pending') AS status,
+SELECT requests.request_id, requests.driver_id,
+  CASE status WHEN 'Success' THEN 'Success' WHEN 'Failed' THEN 'Failure' ELSE 'Pending' END
+    AS status,
   risk_level, ai_confidence, error
 FROM requests LEFT JOIN (
   SELECT * FROM results WHERE requested_at < (SELECT max(requested_at) - 86400 FROM requests)

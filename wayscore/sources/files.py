@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayscore import schemas
+from wayscore.operators.ranking import add_rank
 
 
 def read_csv(
@@ -85,6 +86,27 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def write_json_array(df: DataFrame, path: str, *order: Column) -> None:
+    """One JSON array, in ``order``, as text parts to be joined in name order.
+
+    Every task writes its own part. The first row opens the array and the last
+    one closes it; the rank tells which they are.
+    """
+    numbered = add_rank(df, *order, name="_rank")
+    last = numbered.agg(F.max("_rank")).first()[0]
+    if last is None:
+        df.sparkSession.createDataFrame([("[]",)], "value string").write.mode(
+            "overwrite"
+        ).text(path)
+        return
+    line = F.concat(
+        F.when(F.col("_rank") == 1, "[").otherwise(","),
+        F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}),
+        F.when(F.col("_rank") == last, "]").otherwise(""),
+    )
+    numbered.orderBy("_rank").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def report_status(spark: SparkSession, path: str) -> DataFrame:
     """Whether a report exists, when it last changed, and its file names.
 

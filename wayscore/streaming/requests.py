@@ -32,7 +32,7 @@ def result_rows(
         F.when(~failed, risk_level(F.col("sentiment"))).alias("risk_level"),
         F.when(~failed, F.round(F.coalesce("score", F.lit(0.0)), 4)).alias("ai_confidence"),
         "error",
-        F.when(failed, fixed.FAILURE).otherwise(fixed.SUCCESS).alias("status"),
+        F.when(failed, fixed.FAILED).otherwise(fixed.SUCCESS).alias("status"),
     )
 
 
@@ -77,12 +77,17 @@ def start_scoring(
 
 
 def request_status(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """State of each request: its result's, or Pending if there is none yet."""
+    """Success or Failure of each request, or Pending if it has no result yet."""
     found = results.drop("driver_id")
+    state = (
+        F.when(F.col("status").isNull(), fixed.PENDING)
+        .when(F.col("status") == fixed.FAILED, fixed.FAILURE)
+        .otherwise(F.col("status"))
+    )
     return requests.join(found, "request_id", "left").select(
         "request_id",
         "driver_id",
-        F.coalesce("status", F.lit(fixed.PENDING)).alias("status"),
+        state.alias("status"),
         "risk_level",
         "ai_confidence",
         "error",
