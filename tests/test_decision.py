@@ -27,7 +27,7 @@ def test_matrix_counts_every_row(points):
         for i in range(200)
     ]
     plain = decision.decision_matrix(tracks.add_steps(points(rows)))
-    hot = decision.decision_matrix(tracks.add_steps(points(rows), hot_rows=10))
+    hot = decision.decision_matrix(tracks.add_steps(points(rows), hot_rows=10, run_rows=10))
     assert plain.agg(F.sum("total_records")).first()[0] == 200
     key = ("city", "user_id")
     assert sorted(map(tuple, plain.select(*key, "stuck_count", "final_score").collect())) == sorted(

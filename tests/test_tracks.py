@@ -1,6 +1,9 @@
 import random
 
 import pytest
+from hypothesis import given as any_of
+from hypothesis import settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wayscore.operators import tracks
@@ -58,14 +61,25 @@ def test_hot_tracks_give_the_same_rows(spark, points, hot_rows):
     rows = skewed()
     df = points(rows).repartition(5)
     assert bool(tracks.hot_tracks(df, hot_rows=hot_rows)) == (hot_rows < 10_000)
-    lagged = tracks.add_previous_point(df, hot_rows=hot_rows)
+    lagged = tracks.add_previous_point(df, hot_rows=hot_rows, run_rows=hot_rows)
     assert lagged.columns[-3:] == ["prev_lat", "prev_lon", "point_no"]
     assert by_id(lagged, "prev_lat", "prev_lon", "point_no") == brute_force(rows)
 
 
+@settings(max_examples=8, deadline=None)
+@any_of(
+    st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 5)), min_size=1, max_size=60),
+    st.integers(1, 30),
+)
+def test_any_split_gives_the_same_rows(points, users, hot_rows):
+    rows = [(i, u, t, 20.0 + i, 100.0 + i, "T") for i, (u, t) in enumerate(users)]
+    lagged = tracks.add_previous_point(points(rows), hot_rows=hot_rows, run_rows=hot_rows)
+    assert by_id(lagged, "prev_lat", "prev_lon", "point_no") == brute_force(rows)
+
+
 def test_null_users_can_be_hot(points):
     rows = [(i, None, i % 4, 25.0 + i / 100, 121.0, "Taipei") for i in range(60)]
-    lagged = tracks.add_previous_point(points(rows), hot_rows=10)
+    lagged = tracks.add_previous_point(points(rows), hot_rows=10, run_rows=10)
     assert by_id(lagged, "prev_lat", "prev_lon", "point_no") == brute_force(rows)
 
 
@@ -75,7 +89,7 @@ def test_hot_track_is_spread(spark, points):
     original = tracks.store
     try:
         tracks.store = lambda df, name: seen.append(original(df, name)) or seen[-1]
-        tracks.add_previous_point(points(rows), hot_rows=100).count()
+        tracks.add_previous_point(points(rows), hot_rows=100, run_rows=100).count()
     finally:
         tracks.store = original
     sizes = [r["count"] for r in seen[0].groupBy("run").count().collect()]
@@ -111,7 +125,9 @@ def test_markers(points):
 @pytest.mark.parametrize("hot_rows", [10_000, 20])
 def test_trajectory_segments_join_to_the_track(points, hot_rows):
     rows = skewed(300)
-    segments = tracks.trajectories(points(rows), segment_points=8, hot_rows=hot_rows).collect()
+    segments = tracks.trajectories(
+        points(rows), segment_points=8, hot_rows=hot_rows, run_rows=hot_rows
+    ).collect()
     assert max(s["n_points"] for s in segments) <= 8
     order = brute_force(rows)
     for user in {r[1] for r in rows}:

@@ -96,9 +96,14 @@ def systematic_sample(
     time_bin = F.coalesce(F.floor(F.col("timestamp") / bin_seconds), F.lit(no_time))
     binned = normal_points(points).withColumn("bin", time_bin)
     counted = binned.groupBy("city", "bin").agg(F.count(F.lit(1)).alias("rows"))
-    so_far = Window.partitionBy("city").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    by_time = Window.partitionBy("city").orderBy("bin")
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    # No bin is empty, so the first ``needed`` bins of a city are enough.
+    first_bins = counted.withColumn("bin_no", F.row_number().over(by_time)).filter(
+        F.col("bin_no") <= needed
+    )
     reach = store(
-        counted.withColumn("seen", F.sum("rows").over(so_far))
+        first_bins.withColumn("seen", F.sum("rows").over(so_far))
         .filter(F.col("seen") - F.col("rows") < needed)
         .groupBy(F.col("city").alias("reach_city"))
         .agg(F.max("bin").alias("last_bin"), F.max("seen").alias("early_rows")),

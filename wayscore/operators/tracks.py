@@ -19,8 +19,9 @@ from pyspark.sql import types as T
 from wayscore.functions.geo import distance_km
 from wayscore.session import store
 
-# A track above this many rows is cut into runs of this many rows.
+# Tracks above this many rows are cut into runs of this many rows.
 HOT_TRACK_ROWS = 10_000_000
+RUN_ROWS = 10_000_000
 # Upper bounds of the two broadcast tables, whatever the data size.
 MAX_HOT_TRACKS = 20_000
 MAX_RUNS = 50_000
@@ -121,6 +122,7 @@ def add_previous_point(
     key: str = "user_id",
     order: Sequence[str] | None = None,
     hot_rows: int = HOT_TRACK_ROWS,
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Add ``prev_lat``, ``prev_lon`` and the 1-based ``point_no`` of each point."""
     order = list(order or track_order(points))
@@ -129,7 +131,7 @@ def add_previous_point(
         return _within_tracks(points, key, order)
     table, same = _is_hot(points, hot, key)
     total = sum(row["track_rows"] for row in hot)
-    runs = min(MAX_RUNS, math.ceil(total / hot_rows) + 1)
+    runs = min(MAX_RUNS, math.ceil(total / run_rows) + 1)
     calm = _within_tracks(points.join(table, same, "left_anti"), key, order)
     busy = _within_runs(points.join(table, same, "left_semi"), key, order, runs)
     return calm.unionByName(busy)
@@ -140,6 +142,7 @@ def add_steps(
     key: str = "user_id",
     order: Sequence[str] | None = None,
     hot_rows: int = HOT_TRACK_ROWS,
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Add the distance from the previous point and the stuck flag.
 
@@ -147,7 +150,7 @@ def add_steps(
     """
     km = distance_km("prev_lat", "prev_lon", "latitude", "longitude")
     return (
-        add_previous_point(points, key, order, hot_rows)
+        add_previous_point(points, key, order, hot_rows, run_rows)
         .withColumn("step_distance_km", km)
         .withColumn("is_stuck", F.when(F.col("step_distance_km") == 0.0, 1).otherwise(0))
     )
@@ -193,14 +196,17 @@ def track_markers(points: DataFrame, numbers: Sequence[int] = (1, 16)) -> DataFr
 
 
 def trajectories(
-    points: DataFrame, segment_points: int = 1000, hot_rows: int = HOT_TRACK_ROWS
+    points: DataFrame,
+    segment_points: int = 1000,
+    hot_rows: int = HOT_TRACK_ROWS,
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Ordered coordinate lists per user, in numbered segments.
 
     A segment holds at most ``segment_points`` points, so that no list and no
     group grows with the track; segments in order make up the whole track.
     """
-    numbered = add_previous_point(points, hot_rows=hot_rows)
+    numbered = add_previous_point(points, hot_rows=hot_rows, run_rows=run_rows)
     fix = F.struct("point_no", "latitude", "longitude")
     return (
         numbered.withColumn("segment", F.floor((F.col("point_no") - 1) / segment_points))

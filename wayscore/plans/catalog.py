@@ -80,6 +80,14 @@ def step_distance(spark, sf_dir):
     )
 
 
+@query
+def step_distance_split_tracks(spark, sf_dir):
+    """The same steps, with the longest tracks cut into runs."""
+    steps = tracks.add_steps(_points(spark, sf_dir), hot_rows=75, run_rows=2000)
+    km = F.round("step_distance_km", 6)
+    return steps.select("event_id", "user_id", "city", km.alias("step_distance_km"), "is_stuck")
+
+
 @query
 def haversine_asin(spark, sf_dir):
     """Both distance forms side by side."""

@@ -164,6 +164,7 @@ SELECT * FROM matrix ORDER BY final_score DESC, user_id, city LIMIT 5""",
     "lag_points": f"""WITH {STEPS}
 SELECT {POINT_COLUMNS}, prev_lat, prev_lon FROM lagged""",
     "step_distance": STEP_QUERY,
+    "step_distance_split_tracks": STEP_QUERY,
     "haversine_asin": f"""WITH {STEPS}
 SELECT event_id, round(2 * 6371.0e0 * asin(sqrt(h)), 6) AS asin_km,
   abs(2 * 6371.0e0 * asin(sqrt(h)) - step_distance_km) < 1e-9 AS agrees FROM steps""",
