@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,33 @@ def test_one_risk_and_one_good_cluster(spark, given):
     per_label = labels.groupBy("label").agg(F.countDistinct("cluster").alias("n")).collect()
     found = {r["label"]: r["n"] for r in per_label}
     assert found[fixed.LABEL_GOOD] == 1 and found.get(fixed.LABEL_RISK, 1) == 1
+
+
+def lloyd_cost(x, k, start, rounds=100):
+    """Within-cluster cost of plain K-means from ``k`` random rows."""
+    means = x[start.choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        nearest = ((x[:, None] - means) ** 2).sum(2).argmin(1)
+        means = np.array([x[nearest == c].mean(0) if (nearest == c).any() else means[c] for c in range(k)])
+    return ((x - means[nearest]) ** 2).sum()
+
+
+@pytest.mark.parametrize("scale", [True, False])
+def test_clusters_are_as_good_as_brute_force(spark, scale):
+    from wayscore.operators import decision, tracks
+    from wayscore.sources import tables
+
+    points = tables.gps_points(tables.events(spark, "/root/testdata/sf0.01"))
+    features = decision.driver_features(tracks.add_steps(points))
+    found = clusters.cluster(features, scale=scale).toPandas()
+    x = found[fixed.DRIVER_FEATURES].to_numpy(float)
+    if scale:
+        x = (x - x.mean(0)) / x.std(0)
+    label = found["cluster"].to_numpy()
+    means = np.array([x[label == c].mean(0) for c in range(3)])
+    cost = ((x - means[label]) ** 2).sum()
+    nearest = ((x[:, None] - means) ** 2).sum(2).argmin(1)
+    assert (nearest == label).mean() > 0.98
+    start = np.random.default_rng(1)
+    costs = sorted(lloyd_cost(x, 3, start) for _ in range(30))
+    assert cost <= costs[-1] * 1.001
