@@ -23,11 +23,11 @@ def rows(df):
 def test_stream_equals_batch_over_several_files_and_restarts(spark, tmp_path):
     source, results, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
     first = spark.createDataFrame(REQUESTS[:150], schemas.DRIVER_REQUESTS)
-    first.repartition(5).write.parquet(source)
+    streaming.submit(first.repartition(5), source)
     assert rows(run(spark, source, results, checkpoint)) == rows(streaming.result_rows(first))
     # A restart scores what is new, and nothing twice.
     run(spark, source, results, checkpoint)
-    spark.createDataFrame(REQUESTS[150:], schemas.DRIVER_REQUESTS).write.mode("append").parquet(source)
+    streaming.submit(spark.createDataFrame(REQUESTS[150:], schemas.DRIVER_REQUESTS), source)
     after = run(spark, source, results, checkpoint)
     whole = spark.createDataFrame(REQUESTS, schemas.DRIVER_REQUESTS)
     assert rows(after) == rows(streaming.result_rows(whole))
@@ -61,7 +61,7 @@ def test_continuous_query_picks_up_new_files(spark, tmp_path):
     arriving = streaming.open_files(spark, source, schemas.DRIVER_REQUESTS)
     running = streaming.start_scoring(arriving, results, checkpoint, continuous=True)
     try:
-        df.write.mode("append").parquet(source)
+        streaming.submit(df, source)
         running.processAllAvailable()
         assert running.isActive
         assert spark.read.parquet(results).count() == 200

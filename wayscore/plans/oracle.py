@@ -1,5 +1,7 @@
 """The registered queries as DuckDB SQL over the given tables."""
 
+from wayscore import fixed
+
 GPS = """
 gps AS (
   SELECT event_id, 'user_' || user_id AS user_id, t AS "timestamp",
@@ -142,11 +144,16 @@ lines AS (
 )"""
 )
 
-ADVICE = """CASE WHEN sentiment = 'NEGATIVE' THEN '🚨 建議立即進行安全面談，可能存在違規或疲勞駕駛。'
-       ELSE '🟢 表現尚可，建議持續觀察路況影響。' END"""
+ADVICE = f"""CASE WHEN sentiment = 'NEGATIVE' THEN '{fixed.INTERVIEW_ADVICE}'
+       ELSE '{fixed.OBSERVE_ADVICE}' END"""
+ACTION = f"""CASE WHEN sentiment = 'NEGATIVE' THEN '{fixed.INTERVIEW_ACTION}'
+       ELSE '{fixed.OBSERVE_ACTION}' END"""
 LEVEL = "CASE WHEN sentiment = 'NEGATIVE' THEN 'High Risk' ELSE 'Safe' END"
-COLOUR = """CASE label WHEN 'Risk: Congested' THEN '#ff4d4d' WHEN 'Good: Efficient' THEN '#2ecc71'
-    WHEN 'Normal: Average' THEN '#f1c40f' ELSE '#gray' END"""
+COLOUR = (
+    "CASE label"
+    + "".join(f" WHEN '{label}' THEN '{c}'" for label, c in fixed.LABEL_COLOURS.items())
+    + f" ELSE '{fixed.UNKNOWN_COLOUR}' END"
+)
 
 POINT_COLUMNS = 'event_id, user_id, "timestamp", latitude, longitude, city'
 STEP_QUERY = f"""WITH {STEPS}
@@ -308,8 +315,7 @@ SELECT driver_id, label, printf('%.2f km/h', average_speed) AS speed,
 FROM scored WHERE label LIKE 'Risk%' ORDER BY average_speed, driver_id LIMIT 5""",
     "alert_actions": f"""WITH {SCORED_DRIVERS}
 SELECT driver_id, label AS status, sentiment AS ai_sentiment,
-  CASE WHEN sentiment = 'NEGATIVE' THEN '建議安排安全教育面談'
-       ELSE '觀察其塞車情況是否緩解' END AS management_action
+  {ACTION} AS management_action
 FROM scored WHERE label LIKE '%Risk%' ORDER BY average_speed, driver_id LIMIT 5""",
     "label_distribution": f"""WITH {DRIVERS}
 SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM drivers), 6) AS share

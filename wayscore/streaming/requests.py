@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from wayscore import fixed
+from wayscore import fixed, schemas
 from wayscore.functions.decisions import risk_level
 from wayscore.operators.scoring import score_by_rule
 
@@ -36,6 +36,12 @@ def result_rows(
     )
 
 
+def submit(requests: DataFrame, path: str) -> None:
+    """Add requests to the folder a stream reads; each write arrives as a whole."""
+    columns = schemas.DRIVER_REQUESTS.fieldNames()
+    requests.select(*columns).write.mode("append").parquet(path)
+
+
 def open_files(
     spark: SparkSession,
     path: str,
