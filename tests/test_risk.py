@@ -90,6 +90,17 @@ def test_texts(drivers):
     )
 
 
+def test_request_text(spark):
+    rows = [("x", 10.0, 25), (None, 1.5, 0), ("y", None, 1), ("z", 1.0, None)]
+    df = spark.createDataFrame(rows, "driver_id string, speed double, stuck_count int")
+    assert [r[0] for r in df.select(request_text()).collect()] == [
+        "Driver x is driving at 10.0 km/h and got stuck 25 times.",
+        "Driver None is driving at 1.5 km/h and got stuck 0 times.",
+        None,
+        None,
+    ]
+
+
 def test_rule_on_the_sample_request(spark):
     rows = [("x", 10.0, 25), ("tie", 10.0, 5), ("fast", 80.0, 0), ("none", None, 1)]
     df = spark.createDataFrame(rows, "driver_id string, speed double, stuck_count int")
@@ -116,7 +127,7 @@ def test_one_bad_text_does_not_fail_the_others(drivers):
         def classify(texts):
             if any("d3" in t for t in texts):
                 raise RuntimeError("cannot read d3")
-            return [("POSITIVE", 0.75)] * len(texts)
+            return [{"label": "POSITIVE", "score": 0.75}] * len(texts)
 
         return classify
 
@@ -159,7 +170,7 @@ def test_a_worker_loads_its_model_once(spark, tmp_path):
         import uuid
 
         open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
-        return lambda texts: [("POSITIVE", 0.5)] * len(texts)
+        return lambda texts: [{"label": "POSITIVE", "score": 0.5}] * len(texts)
 
     df = spark.range(0, 4000, 1, 60).select(F.concat(F.lit("text "), "id").alias("text"))
     for _ in range(2):

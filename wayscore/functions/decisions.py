@@ -82,10 +82,16 @@ def congestion_text(driver="driver_id", speed="average_speed", stuck="stuck_coun
 
 def request_text(driver="driver_id", speed="speed", stuck="stuck_count") -> Column:
     """NULL if the speed or the stops are missing."""
-    text = F.format_string(
-        fixed.REQUEST_TEXT, driver, F.col(speed).cast("string"), F.col(stuck).cast("string")
+    start, at, stuck_at, end = fixed.REQUEST_TEXT.split("%s")
+    return F.concat(
+        F.lit(start),
+        F.coalesce(F.col(driver), F.lit("None")),
+        F.lit(at),
+        F.col(speed).cast("string"),
+        F.lit(stuck_at),
+        F.col(stuck).cast("string"),
+        F.lit(end),
     )
-    return F.when(F.col(speed).isNotNull() & F.col(stuck).isNotNull(), text)
 
 
 def speed_text(speed="average_speed") -> Column:

@@ -8,11 +8,12 @@ of a failure on that record.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from wayscore import fixed
 from wayscore.session import ship_package
 
-# texts -> [(label, score)]
-TextModel = Callable[[list[str]], list[tuple[str, float]]]
+# Takes texts and gives a record with ``label`` and ``score`` for each: a list
+# of dicts, as text classifiers return them, or a pandas frame.
+TextModel = Callable[[list[str]], list[dict] | pd.DataFrame]
 
 SCORE_FIELDS = "sentiment string, score double, error string"
 MISSING_INPUT = "missing input"
@@ -50,44 +52,52 @@ def score_by_rule(df: DataFrame, speed: str, stuck: str = "stuck_count") -> Data
 
 def load_rule_model() -> TextModel:
     """The same rule as a text model: reads speed and stops from the sentence."""
-    speed_at = re.compile(r"at (-?[\d.]+) km/h")
-    stops_at = re.compile(r"(?:with|stuck) (\d+) ")
-
-    def classify(texts: list[str]) -> list[tuple[str, float]]:
-        frame = pd.Series(texts, dtype="string")
-        speed = frame.str.extract(speed_at, expand=False).astype("float64")
-        stops = frame.str.extract(stops_at, expand=False).astype("float64")
-        if speed.isna().any() or stops.isna().any():
+    pattern = r"at (?P<speed>-?[0-9.]+) km/h .*(?:with|stuck) (?P<stops>[0-9]+) "
+
+    def classify(texts: list[str]) -> pd.DataFrame:
+        parts = pc.extract_regex(pa.array(texts, pa.string()), pattern)
+        if parts.null_count:
             raise ValueError("no speed or stops in text")
+        speed, stops = (
+            pc.cast(pc.struct_field(parts, name), pa.float64()).to_numpy(zero_copy_only=False)
+            for name in ("speed", "stops")
+        )
         chance = 1 / (1 + np.exp(speed * 0.1 - stops * 0.2))
-        label = (stops * 2 >= speed).map({True: fixed.NEGATIVE, False: fixed.POSITIVE})
-        score = chance.where(chance >= 0.5, 1 - chance)
-        return list(zip(label, score.round(4)))
+        return pd.DataFrame(
+            {
+                "label": np.where(stops * 2 >= speed, fixed.NEGATIVE, fixed.POSITIVE),
+                "score": np.round(np.maximum(chance, 1 - chance), 4),
+            }
+        )
 
     return classify
 
 
-def _scores(model: TextModel, texts: list[str]) -> list[tuple]:
+def _scores(model: TextModel, texts: pd.Series) -> pd.DataFrame:
     """Score a batch; one that fails is halved until the failing texts stand alone."""
     try:
-        return [(label, float(score), None) for label, score in model(texts)]
+        found = pd.DataFrame(model(texts.tolist()))
+        found.index = texts.index
+        return pd.DataFrame({"sentiment": found["label"], "score": found["score"], "error": None})
     except Exception as failure:
         if len(texts) == 1:
-            return [(None, None, str(failure))]
+            row = {"sentiment": None, "score": np.nan, "error": str(failure)}
+            return pd.DataFrame(row, index=texts.index)
         half = len(texts) // 2
-        return _scores(model, texts[:half]) + _scores(model, texts[half:])
+        return pd.concat([_scores(model, texts[:half]), _scores(model, texts[half:])])
 
 
 def _classify(model: TextModel | None, texts: pd.Series) -> pd.DataFrame:
     """Scores in the order of ``texts``; missing texts never reach the model."""
-    known = texts.notna()
-    values = texts[known].tolist()
-    if model is None:
-        found = iter([(None, 0.0, None)] * len(values))
+    known = texts.dropna()
+    if model is None or known.empty:
+        found = pd.DataFrame({"sentiment": None, "score": 0.0, "error": None}, index=known.index)
     else:
-        found = iter(_scores(model, values) if values else [])
-    rows = [next(found) if is_known else (None, None, MISSING_INPUT) for is_known in known]
-    return pd.DataFrame(rows, columns=["sentiment", "score", "error"], index=texts.index)
+        found = _scores(model, known)
+    if len(known) < len(texts):
+        found = found.reindex(texts.index)
+        found.loc[texts.isna(), "error"] = MISSING_INPUT
+    return found
 
 
 # The models of this Python worker; workers live on from task to task.
