@@ -6,7 +6,7 @@ from hypothesis import settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wayscore.operators import tracks
+from wayscore.operators import ranking, tracks
 
 
 def by_id(df, *columns):
@@ -83,17 +83,15 @@ def test_null_users_can_be_hot(points):
     assert by_id(lagged, "prev_lat", "prev_lon", "point_no") == brute_force(rows)
 
 
-def test_hot_track_is_spread(spark, points):
+def test_hot_track_is_spread(points):
     rows = [(i, "hot", 5, 25.0, 121.0, "Taipei") for i in range(1000)]
-    seen = []
-    original = tracks.store
-    try:
-        tracks.store = lambda df, name: seen.append(original(df, name)) or seen[-1]
-        tracks.add_previous_point(points(rows), hot_rows=100, run_rows=100).count()
-    finally:
-        tracks.store = original
-    sizes = [r["count"] for r in seen[0].groupBy("run").count().collect()]
+    cut = ranking.store_ordered(
+        points(rows), "runs", "user_id", "timestamp", "event_id", parts=11
+    )
+    sizes = [r["count"] for r in cut.groupBy("part").count().collect()]
     assert sum(sizes) == 1000 and max(sizes) < 300
+    marks = [r["event_id"] for r in cut.orderBy("row_mark").collect()]
+    assert marks == list(range(1000))
 
 
 def test_empty_and_single(points):

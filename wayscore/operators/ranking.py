@@ -8,17 +8,31 @@ from pyspark.sql import functions as F
 from wayscore.session import store
 
 
+def store_ordered(
+    df: DataFrame, name: str, *order: Column | str, parts: int | None = None
+) -> DataFrame:
+    """Write ``df`` in a total order and add where each row stands in it.
+
+    ``row_mark`` is ``monotonically_increasing_id`` of the range-sorted rows: the
+    partition number in the upper bits and the row number in it in the lower 33.
+    ``part`` is that partition number. Both are written, because the boundaries
+    of the partitions are sampled and must not change between later uses.
+    """
+    if parts:
+        ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    else:
+        ordered = df.orderBy(*order)
+    marked = store(ordered.withColumn("row_mark", F.monotonically_increasing_id()), name)
+    return marked.withColumn("part", F.shiftright("row_mark", 33))
+
+
 def add_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Number all rows 1..N in a total order without gathering them.
 
-    The range-sorted table is written once with ``monotonically_increasing_id``,
-    which holds the partition number (upper bits) and the row number in it
-    (lower 33 bits). Adding the row counts of the earlier partitions, a table
-    with one row per partition, gives the rank.
+    A row's rank is its number in its part plus the rows of the earlier parts,
+    which come from a table with one row per part.
     """
-    ordered = store(
-        df.orderBy(*order).withColumn("row_mark", F.monotonically_increasing_id()), "ranked"
-    ).withColumn("part", F.shiftright("row_mark", 33))
+    ordered = store_ordered(df, "ranked", *order)
     sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("part_rows"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(

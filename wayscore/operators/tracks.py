@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayscore.functions.geo import distance_km
-from wayscore.session import store
+from wayscore.operators.ranking import store_ordered
 
 # Tracks above this many rows are cut into runs of this many rows.
 HOT_TRACK_ROWS = 10_000_000
@@ -75,45 +75,44 @@ def _within_tracks(points: DataFrame, key: str, order: Sequence[str]) -> DataFra
 def _within_runs(points: DataFrame, key: str, order: Sequence[str], runs: int) -> DataFrame:
     """Previous point and number of points whose tracks span several tasks.
 
-    Range partitioning on (key, order) splits a track at any point, also among
-    equal timestamps. The run number is written with the rows, because the
-    boundaries are sampled and must not change between the uses below.
+    Range partitioning on (key, order) cuts a track at any point, also among
+    equal times. A part of that order is a run; a track goes on in the next run
+    where the last one ended.
     """
-    cut = store(
-        points.repartitionByRange(runs, key, *order).withColumn("run", F.spark_partition_id()),
-        "track-runs",
-    )
-    at = Window.partitionBy("run", key).orderBy(*order)
-    inside = cut.withColumns(
-        {
-            "run_lat": F.lag("latitude").over(at),
-            "run_lon": F.lag("longitude").over(at),
-            "run_no": F.row_number().over(at).cast("long"),
-        }
+    ordered = store_ordered(points, "track-runs", key, *order, parts=runs)
+    # The first row of a track in a run takes what the track carried there, so the
+    # window need not tell the tracks of a run apart.
+    at = Window.partitionBy("part").orderBy("row_mark")
+    inside = ordered.withColumns(
+        {"run_lat": F.lag("latitude").over(at), "run_lon": F.lag("longitude").over(at)}
     )
     # One row per run and track in it: at most runs + hot tracks.
-    ends = cut.groupBy("run", key).agg(
+    ends = ordered.groupBy("part", key).agg(
         F.count(F.lit(1)).alias("run_rows"),
-        F.max_by(F.struct("latitude", "longitude"), F.struct(*order)).alias("last"),
+        F.min("row_mark").alias("first_mark"),
+        F.max_by("latitude", "row_mark").alias("last_lat"),
+        F.max_by("longitude", "row_mark").alias("last_lon"),
     )
-    along = Window.partitionBy(key).orderBy("run")
+    along = Window.partitionBy(key).orderBy("part")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
-        F.col("run").alias("carry_run"),
+        F.col("part").alias("carry_part"),
         F.col(key).alias("carry_key"),
-        F.lag("last").over(along).alias("carried"),
+        "first_mark",
+        F.lag("last_lat").over(along).alias("carried_lat"),
+        F.lag("last_lon").over(along).alias("carried_lon"),
         F.coalesce(F.sum("run_rows").over(earlier), F.lit(0)).alias("rows_before"),
     )
-    first = F.col("run_no") == 1
     stitched = inside.join(
         F.broadcast(carry),
-        (inside["run"] == carry["carry_run"]) & inside[key].eqNullSafe(carry["carry_key"]),
+        (inside["part"] == carry["carry_part"]) & inside[key].eqNullSafe(carry["carry_key"]),
     )
+    first = F.col("row_mark") == F.col("first_mark")
     return stitched.select(
         *points.columns,
-        F.when(first, F.col("carried.latitude")).otherwise(F.col("run_lat")).alias("prev_lat"),
-        F.when(first, F.col("carried.longitude")).otherwise(F.col("run_lon")).alias("prev_lon"),
-        (F.col("rows_before") + F.col("run_no")).alias("point_no"),
+        F.when(first, F.col("carried_lat")).otherwise(F.col("run_lat")).alias("prev_lat"),
+        F.when(first, F.col("carried_lon")).otherwise(F.col("run_lon")).alias("prev_lon"),
+        (F.col("rows_before") + F.col("row_mark") - F.col("first_mark") + 1).alias("point_no"),
     )
 
 
