@@ -27,7 +27,7 @@ from .common import held_out, id_and_text, table
 
 END = b""
 START = b"\n"  # white space, so never a word
-FLUSH = 1_000_000
+FLUSH = 250_000
 DISCOUNT = 0.5
 ADDED = 0.1  # added to every count
 
@@ -47,7 +47,7 @@ def _count_words(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text in batch["text"]:
             counts.update(tokens(text))
-            if len(counts) >= FLUSH:
+            if len(counts) >= FLUSH:  # keeps a worker's memory small
                 yield emit(counts)
                 counts.clear()
     yield emit(counts)
@@ -222,6 +222,11 @@ _PARTS = (
 )
 
 
+def _parts(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.strip().split()[0] for c in _PARTS.split(",")[:8]])
+    return frame.astype({"doc_id": "Int64"})
+
+
 def _read(shared):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = shared.value
@@ -234,9 +239,10 @@ def _read(shared):
                 found = [{"token": w, "n": n} for w, n in rest.items()]
                 out.append((row, doc_id, held, len(words), known, base, score, found))
                 row += 1
-            frame = pd.DataFrame(out, columns=[c.strip().split()[0] for c in _PARTS.split(",")[:8]])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                if len(out) == 500:
+                    yield _parts(out)
+                    out = []
+            yield _parts(out)
 
     return read
 
