@@ -62,7 +62,7 @@ def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
         t, low, high = int(key[1]), int(key[3]), int(key[4])
         rows = rows.sort_values("rep", kind="stable")

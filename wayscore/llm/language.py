@@ -192,13 +192,14 @@ class Model:
 
 
 def train(texts: DataFrame, word_share: float = 1e-6, ngram_share: float = 5e-5) -> Model:
-    """A model of all rows of ``texts`` (column ``text``).
+    """A model of all rows of ``texts`` (column ``text``; NULL is an empty text).
 
     At most 1 / word_share words and 1 / ngram_share n-grams of each order come to the driver,
     whatever the size of the corpus; the limits are shares of the corpus, so they behave alike at
     every size. Without texts every word has probability 1, as the base formula says.
     """
     ship_package(texts.sparkSession)
+    texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = word_counts(texts)
     summed = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = summed["total"] or 0, summed["distinct"]

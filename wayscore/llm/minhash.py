@@ -187,7 +187,7 @@ def _verify(threshold: float):
 def _settle(threshold: float):
     """Links between different components inside one block or between two blocks of a bucket."""
 
-    def settle(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         low, high = int(key[2]), int(key[3])
         rows = rows.sort_values("node", kind="stable")
         node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
