@@ -2,11 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
 from compare import connect, differences
-
-SQL = oracle_sql()
-
+from wayscore.plans.catalog import QUERIES
+from wayscore.plans.oracle import ORACLE_SQL as SQL
 
 @pytest.fixture(scope="module")
 def db(given):
@@ -15,9 +13,9 @@ def db(given):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, given, db, name):
-    assert differences(queries()[name](spark, given), db, SQL[name]) == ""
+    assert differences(QUERIES[name](spark, given), db, SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, given, name):
-    assert queries()[name](spark, given).count() > 0
+    assert QUERIES[name](spark, given).count() > 0

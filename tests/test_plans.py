@@ -5,6 +5,7 @@ import re
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from wayscore.plans.catalog import QUERIES
 from wayscore.operators import decision, provider, quality, tracks
 from wayscore.schemas import GPS_RECORDS
 from wayscore.sources import tables
@@ -19,7 +20,7 @@ def exchanges(text):
 
 
 def build(spark, given, name):
-    return plan(queries()[name](spark, given))
+    return plan(QUERIES[name](spark, given))
 
 
 def test_decision_matrix_needs_one_exchange(spark, given):
@@ -32,7 +33,7 @@ def test_driver_features_need_one_exchange(spark, given):
     assert exchanges(build(spark, given, "driver_features")) == ["hashpartitioning"]
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"driver_risk_scores_batch", "partitioned_map"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"driver_risk_scores_batch", "partitioned_map"}))
 def test_no_python_in_the_plan(spark, given, name):
     if name in ("stream_risk_scores", "risk_context") or "cluster" in name or name == "driver_labels":
         pytest.skip("reads a stored result")
@@ -75,7 +76,7 @@ def test_hot_track_check_reads_one_column(spark, gps_path):
     df = spark.read.schema(GPS_RECORDS).parquet(gps_path)
     text = plan(df.groupBy("user_id").count())
     assert "ReadSchema: struct<user_id:string>" in text
-    assert tracks.hot_tracks(df) == []
+    assert tracks.hot_tracks(df).isEmpty()
 
 
 def test_markers_and_samples_cut_before_the_exchange(spark, gps_path):

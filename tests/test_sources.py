@@ -50,8 +50,12 @@ def test_json_array_report_in_order(spark, tmp_path, n):
     rows = [(f"城{i % 7}", f"u{i:03d}", 0.5, i, None, float(i % 60)) for i in range(n)]
     df = spark.createDataFrame(rows, schemas.DECISION_MATRIX).repartition(5)
     files.write_json_array(df, str(tmp_path / "report"), F.desc("final_score"), F.asc("user_id"))
-    parts = sorted((tmp_path / "report").glob("part-*"))
-    found = json.loads("".join(p.read_text("utf-8") for p in parts))
+    parts = sorted(
+        (tmp_path / "report").rglob("part-*"), key=lambda p: int(p.parent.name.partition("=")[2] or 0)
+    )
+    found = [row for p in parts for row in json.loads(p.read_text("utf-8"))]
+    back = files.read_json(spark, str(tmp_path / "report"), schemas.DECISION_MATRIX, records=True)
+    assert back.count() == n
     rows.sort(key=lambda r: (-r[5], r[1]))
     assert [tuple(r[c] for c in df.columns) for r in found] == rows
 

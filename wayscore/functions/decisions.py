@@ -53,7 +53,10 @@ def advice(
     if_negative: str = fixed.INTERVIEW_ADVICE,
     otherwise: str = fixed.OBSERVE_ADVICE,
 ) -> Column:
-    return F.when(sentiment == fixed.NEGATIVE, if_negative).otherwise(otherwise)
+    """No sentiment, no advice: NULL."""
+    return F.when(sentiment == fixed.NEGATIVE, if_negative).when(
+        sentiment.isNotNull(), otherwise
+    )
 
 
 def lookup(column: Column, mapping: dict[str, str], default: str) -> Column:
@@ -72,12 +75,19 @@ def has_word(column: Column, word: str) -> Column:
     return F.coalesce(column.contains(word), F.lit(False))
 
 
+def _text(template: str, driver: str, speed: str, stuck: str) -> Column:
+    known = F.col(speed).isNotNull() & F.col(stuck).isNotNull()
+    return F.when(known, F.format_string(template, driver, speed, stuck))
+
+
 def stops_text(driver="driver_id", speed="average_speed", stuck="stuck_count") -> Column:
-    return F.format_string(fixed.STOPS_TEXT, driver, speed, stuck)
+    """NULL if the speed or the stops are missing."""
+    return _text(fixed.STOPS_TEXT, driver, speed, stuck)
 
 
 def congestion_text(driver="driver_id", speed="average_speed", stuck="stuck_count") -> Column:
-    return F.format_string(fixed.CONGESTION_TEXT, driver, speed, stuck)
+    """NULL if the speed or the stops are missing."""
+    return _text(fixed.CONGESTION_TEXT, driver, speed, stuck)
 
 
 def request_text(driver="driver_id", speed="speed", stuck="stuck_count") -> Column:
@@ -95,4 +105,5 @@ def request_text(driver="driver_id", speed="speed", stuck="stuck_count") -> Colu
 
 
 def speed_text(speed="average_speed") -> Column:
-    return F.format_string(fixed.SPEED_TEXT, speed)
+    """NULL if the speed is missing."""
+    return F.when(F.col(speed).isNotNull(), F.format_string(fixed.SPEED_TEXT, speed))

@@ -32,6 +32,15 @@ def distance_km_asin(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_KM) ->
     return F.asin(F.sqrt(_haversine(lat1, lon1, lat2, lon2))) * (2 * radius)
 
 
+def located(*coordinates) -> Column:
+    """True if every coordinate is a number, neither NULL nor NaN."""
+    known = F.lit(True)
+    for c in coordinates:
+        c = F.col(c) if isinstance(c, str) else c
+        known = known & c.isNotNull() & ~F.isnan(c)
+    return known
+
+
 def at_origin(lat="latitude", lon="longitude") -> Column:
     """True for the (0, 0) fix a receiver reports when it has no position.
 

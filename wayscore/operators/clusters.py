@@ -87,7 +87,8 @@ def lowest_and_highest(means: DataFrame, by: str = "cluster") -> DataFrame:
     low = F.min(F.struct("mean_value", by))
     # The smallest negated mean belongs to the highest, lowest key first.
     high = F.min(F.struct((-F.col("mean_value")).alias("negated"), by))
-    return means.agg(low[by].alias("lowest"), high[by].alias("highest"))
+    known = means.filter(F.col("mean_value").isNotNull() & ~F.isnan("mean_value"))
+    return known.agg(low[by].alias("lowest"), high[by].alias("highest"))
 
 
 def label_clusters(

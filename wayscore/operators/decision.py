@@ -70,4 +70,4 @@ def driver_features(steps: DataFrame) -> DataFrame:
 
 
 def slowest_drivers(drivers: DataFrame, n: int = 3) -> DataFrame:
-    return top_n(drivers, n, F.asc("average_speed"), F.asc("driver_id"))
+    return top_n(drivers, n, F.asc_nulls_last("average_speed"), F.asc("driver_id"))

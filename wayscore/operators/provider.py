@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayscore.functions.decisions import go_decision, verdict
-from wayscore.functions.geo import distance_km
+from wayscore.functions.geo import distance_km, located
 from wayscore.session import store
 
 PROMPT = (
@@ -21,24 +21,36 @@ PROMPT = (
 
 
 def provider_error(a: DataFrame, b: DataFrame, record_id: str = "event_id") -> DataFrame:
-    """Distance in metres between both providers' positions of a record."""
+    """Distance in metres between both providers' positions of a record of ``a``.
+
+    NULL if either position is missing, NaN, or absent from ``b``: no distance is
+    known then, which is not a distance of zero.
+    """
     other = b.select(
         record_id, F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon")
     )
-    meters = distance_km("latitude", "longitude", "b_lat", "b_lon") * 1000
-    return a.join(other, record_id).select(record_id, "city", meters.alias("error_meters"))
+    known = located("latitude", "longitude", "b_lat", "b_lon")
+    meters = F.when(known, distance_km("latitude", "longitude", "b_lat", "b_lon") * 1000)
+    return a.join(other, record_id, "left").select(record_id, "city", meters.alias("error_meters"))
 
 
 def city_risk_summary(errors: DataFrame, record_limit_meters: float = 50.0) -> DataFrame:
-    """Mean error, share of records above the limit, and verdict per city."""
+    """Mean error, share of records above the limit, and verdict per city.
+
+    Both are over the records with a known error; ``failed_records`` counts the rest.
+    A city without any known error gets NULL figures and needs a review.
+    """
+    above = F.when(F.col("error_meters") > record_limit_meters, 1.0).otherwise(0.0)
     grouped = errors.groupBy("city").agg(
         F.avg("error_meters").alias("mean_error"),
-        F.avg(F.when(F.col("error_meters") > record_limit_meters, 1.0).otherwise(0.0)).alias("rate"),
+        F.avg(F.when(F.col("error_meters").isNotNull(), above)).alias("rate"),
+        F.count_if(F.col("error_meters").isNull()).alias("failed_records"),
     )
     return grouped.select(
         "city",
         F.round("mean_error", 2).alias("avg_error_meters"),
         F.round("rate", 4).alias("risk_rate"),
+        "failed_records",
         verdict(F.col("mean_error"), F.col("rate")).alias("verdict"),
     )
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayscore import fixed
-from wayscore.functions.geo import at_origin, distance_km
-from wayscore.operators.tracks import track_order
+from wayscore.functions.geo import at_origin, distance_km, located
+from wayscore.operators.tracks import add_previous_point, track_order
 from wayscore.session import store
 
 
@@ -52,7 +52,7 @@ def drift(
     """Distance of every point from its city's home coordinate.
 
     Also catches points that wander around (0, 0) after a jump, which the exact
-    test misses. A city without a home gets NULL. ``homes`` is a short list, which
+    test misses. A city without a home, and a point without a position, gets NULL. ``homes`` is a short list, which
     becomes a literal in the plan, or a table ``city, home_lat, home_lon``, which
     is joined in the way its size asks for.
     """
@@ -63,7 +63,8 @@ def drift(
         pairs = [F.lit(p) for c, *home in homes for p in (c, home)]
         placed = points.withColumn("_home", F.try_element_at(F.create_map(*pairs), "city"))
         lat, lon = F.col("_home")[0], F.col("_home")[1]
-    km = F.when(lat.isNotNull(), distance_km(lat, lon, "latitude", "longitude"))
+    known = located(lat, lon, "latitude", "longitude")
+    km = F.when(known, distance_km(lat, lon, "latitude", "longitude"))
     return placed.select(
         *points.columns, km.alias("home_km"), (km > limit_km).alias("is_drift")
     )
@@ -73,14 +74,22 @@ def drift(
 SAMPLE_TASK_ROWS = 5_000_000
 
 
+def _whole_sample(points: DataFrame, every: int) -> DataFrame:
+    """Every n-th normal point of a city, however many; big cities are split into runs."""
+    numbered = add_previous_point(normal_points(points), key="city")
+    return numbered.filter((F.col("point_no") - 1) % every == 0).select(
+        *points.columns, ((F.col("point_no") - 1) / every + 1).cast("long").alias("sample_no")
+    )
+
+
 def systematic_sample(
     points: DataFrame,
     every: int = 10,
-    per_city: int = 500,
+    per_city: int | None = 500,
     bin_seconds: int = 3600,
     task_rows: int = SAMPLE_TASK_ROWS,
 ) -> DataFrame:
-    """Every n-th normal point of a city in time order, the first ``per_city``.
+    """Every n-th normal point of a city in time order, the first ``per_city`` or all.
 
     Only the first ``every * (per_city - 1) + 1`` points of a city can be in
     the sample. Counts per city and time bin, added up on the map side, tell up
@@ -89,6 +98,8 @@ def systematic_sample(
     as many salts as a city with very many early rows asks for. Every step
     keeps a superset of the needed points, so the sample is exact.
     """
+    if per_city is None:
+        return _whole_sample(points, every)
     order = track_order(points)
     needed = every * (per_city - 1) + 1
     # Rows without a time come first, as they do in the order.

@@ -46,6 +46,7 @@ def add_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     )
 
 
-def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first ``n`` rows; every task keeps only its own first n."""
-    return df.orderBy(*order).limit(n)
+def top_n(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """The first ``n`` rows, every task keeping only its own first n; all rows for None."""
+    ordered = df.orderBy(*order)
+    return ordered if n is None else ordered.limit(n)

@@ -23,13 +23,13 @@ from wayscore.operators.scoring import score_by_rule
 
 
 def _slowest_first():
-    return F.asc("average_speed"), F.asc("driver_id")
+    return F.asc_nulls_last("average_speed"), F.asc("driver_id")
 
 
 def risky_drivers(
-    drivers: DataFrame, pattern: str = fixed.RISK_PATTERN, n: int = 5, otherwise: int = 3
+    drivers: DataFrame, pattern: str = fixed.RISK_PATTERN, n: int | None = 5, otherwise: int = 3
 ) -> DataFrame:
-    """Up to ``n`` drivers whose label matches, or else the slowest few.
+    """Up to ``n`` drivers (all for None) whose label matches, or else the slowest few.
 
     Whether any label matches is decided inside the plan.
     """
@@ -78,7 +78,7 @@ def risk_insights(drivers: DataFrame, scorer=None) -> DataFrame:
 
 
 def alert_actions(
-    drivers: DataFrame, word: str = fixed.RED_ALERT_WORD, n: int = 5, scorer=None
+    drivers: DataFrame, word: str = fixed.RED_ALERT_WORD, n: int | None = 5, scorer=None
 ) -> DataFrame:
     """Actions for the first drivers whose label holds ``word``."""
     score = scorer or (lambda df: score_by_rule(df, "average_speed"))
@@ -110,8 +110,8 @@ def add_colour(drivers: DataFrame) -> DataFrame:
     return drivers.withColumn("colour", colour)
 
 
-def map_drivers(drivers: DataFrame, n: int = 500) -> DataFrame:
-    """The first ``n`` drivers with the colour of their label, as maps show."""
+def map_drivers(drivers: DataFrame, n: int | None = None) -> DataFrame:
+    """All drivers, or the first ``n``, with the colour of their label."""
     return add_colour(top_n(drivers, n, *_slowest_first()))
 
 

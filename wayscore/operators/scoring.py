@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayscore import fixed
 from wayscore.session import ship_package
@@ -40,7 +41,8 @@ def rule_sentiment(speed: Column, stuck_count: Column) -> tuple[Column, Column]:
 def score_by_rule(df: DataFrame, speed: str, stuck: str = "stuck_count") -> DataFrame:
     """Add the rule's sentiment; a missing input becomes an error on that row."""
     label, score = rule_sentiment(F.col(speed), F.col(stuck))
-    known = F.col(speed).isNotNull() & F.col(stuck).isNotNull()
+    pace = F.col(speed).cast("double")
+    known = pace.isNotNull() & ~F.isnan(pace) & F.col(stuck).isNotNull()
     return df.withColumns(
         {
             "sentiment": F.when(known, label),
@@ -87,11 +89,15 @@ def _scores(model: TextModel, texts: pd.Series) -> pd.DataFrame:
         return pd.concat([_scores(model, texts[:half]), _scores(model, texts[half:])])
 
 
-def _classify(model: TextModel | None, texts: pd.Series) -> pd.DataFrame:
-    """Scores in the order of ``texts``; missing texts never reach the model."""
+def _classify(model: TextModel | str, texts: pd.Series) -> pd.DataFrame:
+    """Scores in the order of ``texts``; missing texts never reach the model.
+
+    A text in place of the model says why there is none; it becomes the error.
+    """
     known = texts.dropna()
-    if model is None or known.empty:
-        found = pd.DataFrame({"sentiment": None, "score": 0.0, "error": None}, index=known.index)
+    if isinstance(model, str) or known.empty:
+        why = model if isinstance(model, str) else None
+        found = pd.DataFrame({"sentiment": None, "score": 0.0, "error": why}, index=known.index)
     else:
         found = _scores(model, known)
     if len(known) < len(texts):
@@ -104,13 +110,13 @@ def _classify(model: TextModel | None, texts: pd.Series) -> pd.DataFrame:
 _loaded: dict[str, TextModel] = {}
 
 
-def _load(key: str, load_model: Callable[[], TextModel]) -> TextModel | None:
-    """The worker's model, loaded at its first task; None if that fails."""
+def _load(key: str, load_model: Callable[[], TextModel]) -> TextModel | str:
+    """The worker's model, loaded at its first task; if that fails, the reason."""
     if key not in _loaded:
         try:
             _loaded[key] = load_model()
-        except Exception:
-            return None
+        except Exception as failure:
+            return f"model not loaded: {failure!r}"
     return _loaded[key]
 
 
@@ -147,19 +153,18 @@ def score_partitions(
     partitions: int | None = None,
     load_model: Callable[[], TextModel] = load_rule_model,
 ) -> DataFrame:
-    """Split into even parts by the unique record id and score each part.
+    """Score every part of the table as it is stored.
 
-    Without ``partitions`` there are as many as the session shuffles into.
+    With ``partitions`` it is first split evenly by the unique record id.
     """
     ship_package(df.sparkSession)
     key = _key(load_model)
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields]
+    fields = T.StructType([*df.schema.fields, *T._parse_datatype_string(SCORE_FIELDS).fields])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _load(key, load_model)
         for batch in batches:
             yield pd.concat([batch, _classify(model, batch[text])], axis=1)
 
-    split = df.repartition(partitions, record_id)
-    return split.mapInPandas(score, ", ".join([*fields, SCORE_FIELDS]))
+    split = df.repartition(partitions, record_id) if partitions else df
+    return split.mapInPandas(score, fields)

@@ -14,17 +14,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wayscore.functions.geo import distance_km
 from wayscore.operators.ranking import store_ordered
+from wayscore.session import store
 
 # Tracks above this many rows are cut into runs of this many rows.
 HOT_TRACK_ROWS = 10_000_000
 RUN_ROWS = 10_000_000
-# Upper bounds of the two broadcast tables, whatever the data size.
-MAX_HOT_TRACKS = 20_000
-MAX_RUNS = 50_000
 
 
 def track_order(points: DataFrame) -> list[str]:
@@ -33,32 +30,22 @@ def track_order(points: DataFrame) -> list[str]:
     return ["timestamp", *ties]
 
 
-def hot_tracks(points: DataFrame, key: str = "user_id", hot_rows: int = HOT_TRACK_ROWS):
-    """``[(key, rows)]`` of the tracks too big for one task.
+def hot_tracks(
+    points: DataFrame, key: str = "user_id", hot_rows: int = HOT_TRACK_ROWS
+) -> DataFrame:
+    """``(hot_key, track_rows)`` of all tracks too big for one task, stored.
 
-    Reads the key column only and counts before it shuffles. The list is short:
-    it holds the ``MAX_HOT_TRACKS`` largest at most, and a track beyond those
-    has less than that fraction of all rows.
+    Reads the key column only and counts before it shuffles. Being stored, the
+    table's size is known to the optimizer, which picks the join.
     """
-    return (
-        points.groupBy(F.col(key).alias("hot_key"))
-        .agg(F.count(F.lit(1)).alias("track_rows"))
-        .filter(F.col("track_rows") > hot_rows)
-        .orderBy(F.desc("track_rows"))
-        .limit(MAX_HOT_TRACKS)
-        .collect()
+    counted = points.groupBy(F.col(key).alias("hot_key")).agg(
+        F.count(F.lit(1)).alias("track_rows")
     )
+    return store(counted.filter(F.col("track_rows") > hot_rows), "hot-tracks")
 
 
-def _is_hot(points: DataFrame, hot: list, key: str) -> tuple[DataFrame, Column]:
-    schema = T.StructType(
-        [
-            T.StructField("hot_key", points.schema[key].dataType),
-            T.StructField("track_rows", T.LongType()),
-        ]
-    )
-    table = points.sparkSession.createDataFrame(hot, schema)
-    return F.broadcast(table), points[key].eqNullSafe(table["hot_key"])
+def _is_hot(points: DataFrame, hot: DataFrame, key: str) -> Column:
+    return points[key].eqNullSafe(hot["hot_key"])
 
 
 def _within_tracks(points: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -83,10 +70,11 @@ def _within_runs(points: DataFrame, key: str, order: Sequence[str], runs: int) -
     # The first row of a track in a run takes what the track carried there, so the
     # window need not tell the tracks of a run apart.
     at = Window.partitionBy("part").orderBy("row_mark")
-    inside = ordered.withColumns(
+    # As many partitions as runs, so that runs do not pile up in a task.
+    inside = ordered.repartition(runs, "part").withColumns(
         {"run_lat": F.lag("latitude").over(at), "run_lon": F.lag("longitude").over(at)}
     )
-    # One row per run and track in it: at most runs + hot tracks.
+    # One row per run and track in it, stored so that its size is known to the join.
     ends = ordered.groupBy("part", key).agg(
         F.count(F.lit(1)).alias("run_rows"),
         F.min("row_mark").alias("first_mark"),
@@ -95,7 +83,7 @@ def _within_runs(points: DataFrame, key: str, order: Sequence[str], runs: int) -
     )
     along = Window.partitionBy(key).orderBy("part")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(
+    carried = ends.select(
         F.col("part").alias("carry_part"),
         F.col(key).alias("carry_key"),
         "first_mark",
@@ -103,8 +91,9 @@ def _within_runs(points: DataFrame, key: str, order: Sequence[str], runs: int) -
         F.lag("last_lon").over(along).alias("carried_lon"),
         F.coalesce(F.sum("run_rows").over(earlier), F.lit(0)).alias("rows_before"),
     )
+    carry = store(carried, "run-ends")
     stitched = inside.join(
-        F.broadcast(carry),
+        carry,
         (inside["part"] == carry["carry_part"]) & inside[key].eqNullSafe(carry["carry_key"]),
     )
     first = F.col("row_mark") == F.col("first_mark")
@@ -126,13 +115,13 @@ def add_previous_point(
     """Add ``prev_lat``, ``prev_lon`` and the 1-based ``point_no`` of each point."""
     order = list(order or track_order(points))
     hot = hot_tracks(points, key, hot_rows)
-    if not hot:
+    total = hot.agg(F.sum("track_rows")).first()[0]
+    if not total:
         return _within_tracks(points, key, order)
-    table, same = _is_hot(points, hot, key)
-    total = sum(row["track_rows"] for row in hot)
-    runs = min(MAX_RUNS, math.ceil(total / run_rows) + 1)
-    calm = _within_tracks(points.join(table, same, "left_anti"), key, order)
-    busy = _within_runs(points.join(table, same, "left_semi"), key, order, runs)
+    same = _is_hot(points, hot, key)
+    runs = math.ceil(total / run_rows) + 1
+    calm = _within_tracks(points.join(hot, same, "left_anti"), key, order)
+    busy = _within_runs(points.join(hot, same, "left_semi"), key, order, runs)
     return calm.unionByName(busy)
 
 

@@ -57,6 +57,13 @@ def decision_matrix(spark, sf_dir):
     return _matrix(spark, sf_dir)
 
 
+@query
+def decision_matrix_split(spark, sf_dir):
+    """The same matrix with every longer track cut into runs."""
+    steps = tracks.add_steps(_points(spark, sf_dir), hot_rows=50, run_rows=400)
+    return decision.decision_matrix(steps)
+
+
 @query
 def decision_matrix_ranked(spark, sf_dir):
     return decision.ranked(_matrix(spark, sf_dir))
@@ -166,6 +173,13 @@ def systematic_sample(spark, sf_dir):
     )
 
 
+@query
+def systematic_sample_all(spark, sf_dir):
+    return quality.systematic_sample(_points(spark, sf_dir), per_city=None).select(
+        "city", "sample_no", "event_id", "latitude", "longitude"
+    )
+
+
 @query
 def grid_density(spark, sf_dir):
     grid = quality.grid_density(_steps(spark, sf_dir))
@@ -202,6 +216,14 @@ def json_report_roundtrip(spark, sf_dir):
     return files.read_json(spark, path, schemas.DECISION_MATRIX)
 
 
+@query
+def json_array_roundtrip(spark, sf_dir):
+    """Several part files, each one complete array, read back as records."""
+    path = new_path(spark, "matrix-json-array")
+    files.write_json_array(_matrix(spark, sf_dir), path, F.asc("user_id"), F.asc("city"))
+    return files.read_json(spark, path, schemas.DECISION_MATRIX, records=True)
+
+
 @query
 def source_fallback(spark, sf_dir):
     """There is no Parquet report, so the JSON one is read."""
@@ -347,9 +369,20 @@ def risky_drivers(spark, sf_dir):
 
 @query
 def risky_drivers_fallback(spark, sf_dir):
-    """No label matches among the others, so the slowest are taken."""
-    others = _drivers(spark, sf_dir).filter(F.col("label") != fixed.LABEL_RISK)
-    return risk.risky_drivers(others)
+    """A pattern that no label matches, so the slowest are taken."""
+    return risk.risky_drivers(_drivers(spark, sf_dir), pattern="no such label")
+
+
+@query
+def risky_drivers_all(spark, sf_dir):
+    return risk.risky_drivers(_drivers(spark, sf_dir), n=None)
+
+
+@query
+def labelled_groups(spark, sf_dir):
+    """The labels' rule on groups that do not depend on K-means."""
+    grouped = _drivers(spark, sf_dir).withColumn("cluster", F.col("stuck_count") % 5)
+    return clusters.label_clusters(grouped).select("driver_id", "cluster", "label")
 
 
 @query
@@ -406,8 +439,12 @@ def stream_risk_scores(spark, sf_dir):
 
 @query
 def request_status(spark, sf_dir):
-    """Requests of the last day are not scored yet."""
+    """A stream has stored the results of all but the last day's requests."""
     asked = _requests(spark, sf_dir)
-    last_day = asked.agg(F.max("requested_at") - 86400).scalar()
-    results = streaming.result_rows(asked.filter(F.col("requested_at") < last_day))
-    return streaming.request_status(asked, results)
+    last_day = asked.agg(F.max("requested_at") - 86400).first()[0]
+    arriving = streaming.open_files(spark, f"{sf_dir}/events*.parquet", schemas.EVENTS)
+    earlier = tables.driver_requests(arriving).filter(F.col("requested_at") < F.lit(last_day))
+    results = new_path(spark, "scores")
+    running = streaming.start_scoring(earlier, results, new_path(spark, "scores-checkpoint"))
+    running.awaitTermination()
+    return streaming.request_status(asked, spark.read.parquet(results))

@@ -112,10 +112,10 @@ PROVIDERS = (
     GPS
     + """,
 a AS (
-  SELECT event_id, latitude, longitude,
+  SELECT event_id, CASE WHEN event_id % 40 <> 25 THEN latitude END AS latitude,
+    CASE WHEN event_id % 40 <> 25 THEN longitude END AS longitude,
     CASE user_no % 3 WHEN 0 THEN 'Taipei' WHEN 1 THEN 'Hsinchu' ELSE 'Kaohsiung' END AS city
   FROM (SELECT *, CAST(substr(user_id, 6) AS BIGINT) AS user_no FROM gps) g
-  WHERE event_id % 40 <> 25
 ),
 b AS (
   SELECT event_id, longitude AS b_lon,
@@ -124,22 +124,25 @@ b AS (
   FROM a
 ),
 errors AS (
-  SELECT event_id, city, 2000 * 6371.0e0 * atan2(sqrt(h), sqrt(1 - h)) AS error_meters
-  FROM (SELECT a.event_id, city, """
+  SELECT event_id, city,
+    CASE WHEN known THEN 2000 * 6371.0e0 * atan2(sqrt(h), sqrt(1 - h)) END AS error_meters
+  FROM (SELECT a.event_id, city, latitude IS NOT NULL AND b_lat IS NOT NULL AS known, """
     + _haversine("latitude", "longitude", "b_lat", "b_lon")
     + """ AS h FROM a JOIN b USING (event_id)) j
 ),
 summary AS (
-  SELECT city, round(mean_error, 2) AS avg_error_meters, round(rate, 4) AS risk_rate,
+  SELECT city, round(mean_error, 2) AS avg_error_meters, round(rate, 4) AS risk_rate, failed_records,
     CASE WHEN mean_error > 50 OR rate > 0.2 THEN 'RISKY'
          WHEN mean_error < 20 AND rate < 0.05 THEN 'SAFE' ELSE 'MONITOR' END AS verdict
   FROM (SELECT city, avg(error_meters) AS mean_error,
-          avg(CASE WHEN error_meters > 50 THEN 1.0e0 ELSE 0.0e0 END) AS rate
+          avg(CASE WHEN error_meters > 50 THEN 1.0e0 WHEN error_meters <= 50 THEN 0.0e0 END) AS rate,
+          count(*) FILTER (error_meters IS NULL) AS failed_records
         FROM errors GROUP BY city) g
 ),
 lines AS (
   SELECT city, '{"city":"' || city || '","avg_error_meters":' || avg_error_meters
-    || ',"risk_rate":' || risk_rate || ',"verdict":"' || verdict || '"}' AS line
+    || ',"risk_rate":' || risk_rate || ',"failed_records":' || failed_records
+    || ',"verdict":"' || verdict || '"}' AS line
   FROM summary
 )"""
 )
@@ -224,6 +227,13 @@ numbered AS (
 )
 SELECT city, (n - 1) // 10 + 1 AS sample_no, event_id, latitude, longitude
 FROM numbered WHERE (n - 1) % 10 = 0 AND (n - 1) // 10 < 500""",
+    "systematic_sample_all": f"""WITH {GPS},
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY city ORDER BY "timestamp", event_id) AS n
+  FROM gps WHERE NOT (latitude = 0 AND longitude = 0)
+)
+SELECT city, (n - 1) // 10 + 1 AS sample_no, event_id, latitude, longitude
+FROM numbered WHERE (n - 1) % 10 = 0""",
     "grid_density": f"""WITH {STEPS}
 SELECT CAST(floor(latitude / 0.005e0) AS BIGINT) AS lat_cell,
   CAST(floor(longitude / 0.005e0) AS BIGINT) AS lon_cell, count(*) AS n_points,
@@ -246,7 +256,9 @@ FROM zoned GROUP BY zone""",
     "csv_roundtrip": f"WITH {GPS} SELECT {POINT_COLUMNS} FROM gps",
     "parquet_roundtrip": STEP_QUERY,
     "json_report_roundtrip": MATRIX_QUERY,
+    "json_array_roundtrip": MATRIX_QUERY,
     "source_fallback": MATRIX_QUERY,
+    "decision_matrix_split": MATRIX_QUERY,
     "partitioned_map": f"""WITH {REQUESTS},{_with_scores("requests", "speed")}
 SELECT request_id, driver_id, sentiment, score, error FROM scored""",
     "provider_error": f"""WITH {PROVIDERS}
@@ -305,8 +317,16 @@ SELECT * FROM drivers WHERE regexp_matches(label, 'Risk|紅色', 'i')""",
     "risky_drivers": f"""WITH {DRIVERS}
 SELECT * FROM drivers WHERE label LIKE 'Risk%' ORDER BY average_speed, driver_id LIMIT 5""",
     "risky_drivers_fallback": f"""WITH {DRIVERS}
-SELECT * FROM drivers WHERE label <> 'Risk: Congested'
-ORDER BY average_speed, driver_id LIMIT 3""",
+SELECT * FROM drivers ORDER BY average_speed, driver_id LIMIT 3""",
+    "risky_drivers_all": f"""WITH {DRIVERS}
+SELECT * FROM drivers WHERE label LIKE 'Risk%'""",
+    "labelled_groups": f"""WITH {DRIVERS},
+grouped AS (SELECT *, stuck_count % 5 AS cluster FROM drivers),
+means AS (SELECT cluster, avg(average_speed) AS mean FROM grouped GROUP BY cluster)
+SELECT driver_id, cluster, CASE
+  WHEN cluster = (SELECT cluster FROM means ORDER BY mean DESC, cluster LIMIT 1) THEN 'Good: Efficient'
+  WHEN cluster = (SELECT cluster FROM means ORDER BY mean, cluster LIMIT 1) THEN 'Risk: Congested'
+  ELSE 'Normal: Average' END AS label FROM grouped""",
     "slowest_drivers": f"""WITH {DRIVERS}
 SELECT * FROM drivers ORDER BY average_speed, driver_id LIMIT 3""",
     "risk_insights": f"""WITH {SCORED_DRIVERS}
@@ -326,7 +346,7 @@ SELECT count(*) AS total_drivers, count(*) FILTER (label LIKE '%Risk%') AS high_
     "label_colours": f"WITH {DRIVERS} SELECT driver_id, label, {COLOUR} AS colour FROM drivers",
     "map_drivers": f"""WITH {DRIVERS}
 SELECT driver_id, label, {COLOUR} AS colour FROM drivers
-ORDER BY average_speed, driver_id LIMIT 500""",
+""",
     "stream_risk_scores": f"""WITH {RESULTS}
 SELECT request_id, driver_id, risk_level, ai_confidence, error, status FROM results""",
     "request_status": f"""WITH {RESULTS}

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayscore import schemas
-from wayscore.operators.ranking import add_rank
+from wayscore.operators.ranking import store_ordered
+from wayscore.session import store
 
 
 def read_csv(
@@ -28,8 +29,24 @@ def read_csv(
 def read_parquet(
     spark: SparkSession, path: str, schema: T.StructType | None = None
 ) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(path)
+    """With ``schema`` the file must hold those columns with those types."""
+    if schema is None:
+        return spark.read.parquet(path)
+    found = spark.read.parquet(path)
+    require_schema(found.schema, schema, path)
+    return found.select(*schema.fieldNames())
+
+
+def require_schema(found: T.StructType, wanted: T.StructType, path: str) -> None:
+    """Raise if a wanted column is missing or has another type."""
+    types = {f.name: f.dataType for f in found.fields}
+    wrong = [
+        f"{f.name}: {types[f.name].simpleString() if f.name in types else 'missing'}"
+        for f in wanted.fields
+        if f.name not in types or types[f.name] != f.dataType
+    ]
+    if wrong:
+        raise ValueError(f"{path} does not hold the wanted columns: {', '.join(wrong)}")
 
 
 def read_json(
@@ -37,9 +54,11 @@ def read_json(
 ) -> DataFrame:
     """JSON lines, or with ``records`` files that each hold one array of objects.
 
-    An array file cannot be split among tasks; use it for small reports.
+    Array files are read in parallel, each by one task. A record that does not
+    parse stops the job.
     """
-    return spark.read.schema(schema).json(path, multiLine=records)
+    reader = spark.read.schema(schema).option("recursiveFileLookup", records)
+    return reader.json(path, multiLine=records, mode="FAILFAST")
 
 
 def read_first_available(
@@ -57,9 +76,9 @@ def read_first_available(
             reader = spark.read.schema(schema)
             if fmt == "parquet":
                 # Reading one footer finds a damaged file before the job starts.
-                spark.read.parquet(path).schema
+                return read_parquet(spark, path, schema)
             if fmt == "json array":
-                return reader.json(path, multiLine=True)
+                return read_json(spark, path, schema, records=True)
             return reader.format(fmt).load(path)
         except Exception as failure:
             if not _unreadable(failure):
@@ -87,24 +106,29 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_json_array(df: DataFrame, path: str, *order: Column) -> None:
-    """One JSON array, in ``order``, as text parts to be joined in name order.
+    """JSON arrays in ``order``: every part folder holds one complete array.
 
-    Every task writes its own part. The first row opens the array and the last
-    one closes it; the rank tells which they are.
+    The folders follow each other in the order, and any JSON reader can read each
+    of them; ``read_json`` with ``records`` reads them in parallel.
     """
-    numbered = add_rank(df, *order, name="_rank")
-    last = numbered.agg(F.max("_rank")).first()[0]
-    if last is None:
-        df.sparkSession.createDataFrame([("[]",)], "value string").write.mode(
-            "overwrite"
-        ).text(path)
+    ordered = store_ordered(df, "json-rows", *order)
+    ends = ordered.groupBy("part").agg(
+        F.min("row_mark").alias("first_mark"), F.max("row_mark").alias("last_mark")
+    )
+    ends = store(ends, "json-ends")
+    if ends.isEmpty():
+        empty = df.sparkSession.createDataFrame([("[]",)], "value string")
+        empty.write.mode("overwrite").text(path)
         return
     line = F.concat(
-        F.when(F.col("_rank") == 1, "[").otherwise(","),
+        F.when(F.col("row_mark") == F.col("first_mark"), "[").otherwise(","),
         F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}),
-        F.when(F.col("_rank") == last, "]").otherwise(""),
+        F.when(F.col("row_mark") == F.col("last_mark"), "]").otherwise(""),
     )
-    numbered.orderBy("_rank").select(line.alias("value")).write.mode("overwrite").text(path)
+    lines = ordered.join(ends, "part").select("part", "row_mark", line.alias("value"))
+    # One task writes a part as a whole, in its order.
+    split = lines.repartition("part").sortWithinPartitions("part", "row_mark")
+    split.select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
 
 
 def report_status(spark: SparkSession, path: str) -> DataFrame:

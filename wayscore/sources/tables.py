@@ -63,11 +63,17 @@ def damaged_points(points: DataFrame) -> DataFrame:
 
 
 def provider_a(events: DataFrame) -> DataFrame:
-    """Located points under three cities."""
-    points = gps_points(events).filter(F.col("event_id") % 40 != 25)
+    """All points under three cities; a lost fix has no position."""
+    points = gps_points(events)
+    fixed_position = F.col("event_id") % 40 != 25
     number = F.substring("user_id", 6, 20).cast("long") % 3
     city = F.when(number == 0, "Taipei").when(number == 1, "Hsinchu").otherwise("Kaohsiung")
-    return points.select("event_id", city.alias("city"), "latitude", "longitude")
+    return points.select(
+        "event_id",
+        city.alias("city"),
+        F.when(fixed_position, F.col("latitude")).alias("latitude"),
+        F.when(fixed_position, F.col("longitude")).alias("longitude"),
+    )
 
 
 def provider_b(events: DataFrame) -> DataFrame:
