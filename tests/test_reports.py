@@ -22,8 +22,11 @@ def test_all_reports_from_csv(spark, gps, tmp_path):
     matrix = spark.read.parquet(str(out / "decision_result.parquet"))
     wanted = decision.decision_matrix(tracks.add_steps(gps))
     assert matrix.exceptAll(wanted).count() == 0 == wanted.exceptAll(matrix).count()
-    parts = sorted((out / "decision_result.json").glob("part-*"))
-    listed = json.loads("".join(p.read_text("utf-8") for p in parts))
+    parts = sorted(
+        (out / "decision_result.json").rglob("part-*"),
+        key=lambda p: int(p.parent.name.partition("=")[2] or 0),
+    )
+    listed = [row for p in parts for row in json.loads(p.read_text("utf-8"))]
     scores = [r["final_score"] for r in listed]
     assert len(listed) == matrix.count() and scores == sorted(scores, reverse=True)
 

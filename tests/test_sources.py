@@ -51,7 +51,7 @@ def test_json_array_report_in_order(spark, tmp_path, n):
     df = spark.createDataFrame(rows, schemas.DECISION_MATRIX).repartition(5)
     files.write_json_array(df, str(tmp_path / "report"), F.desc("final_score"), F.asc("user_id"))
     parts = sorted(
-        (tmp_path / "report").rglob("part-*"), key=lambda p: int(p.parent.name.partition("=")[2] or 0)
+        (tmp_path / "report").rglob("part-*"), key=lambda p: int(p.parent.name.partition("=")[2] or 0),
     )
     found = [row for p in parts for row in json.loads(p.read_text("utf-8"))]
     back = files.read_json(spark, str(tmp_path / "report"), schemas.DECISION_MATRIX, records=True)

@@ -6,7 +6,7 @@ writes below ``--out``:
 ============================  ==============================================
 ``cleaned_data.parquet``      points with step distance and stuck flag
 ``decision_result.parquet``   decision matrix, best score first
-``decision_result.json``      the same as one JSON array in parts
+``decision_result.json``      the same as JSON arrays, one per part folder
 ``clustered_result.parquet``  drivers with features, cluster and label
 ``clustered_result.json``     the same as JSON lines
 ``fleet_kpis.json``           drivers, drivers at risk, mean speed

@@ -118,7 +118,7 @@ def write_json_array(df: DataFrame, path: str, *order: Column) -> None:
     ends = store(ends, "json-ends")
     if ends.isEmpty():
         empty = df.sparkSession.createDataFrame([("[]",)], "value string")
-        empty.write.mode("overwrite").text(path)
+        empty.coalesce(1).write.mode("overwrite").text(path)
         return
     line = F.concat(
         F.when(F.col("row_mark") == F.col("first_mark"), "[").otherwise(","),
