@@ -46,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -161,14 +161,15 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             nodes.append(hashlib.md5(name, usedforsecurity=False).digest())
             bags.append(shingles(words))
             size += len(bags[-1][0])
-            if size > 1_000_000:
+            if size > 300_000:
                 keys += list(band_keys(signatures(bags)))
                 bags, size = [], 0
         keys += list(band_keys(signatures(bags))) if bags else []
         yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "keys": keys})
+    _words.clear()  # the worker lives on for other stages
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=16)
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return shingles(_words_of(text))
 

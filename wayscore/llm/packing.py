@@ -27,7 +27,7 @@ from .common import id_and_text, table
 
 LIMIT = 1024
 END_ID = 0
-CACHE = 500_000
+CACHE = 200_000
 PIECE_COLUMNS = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
