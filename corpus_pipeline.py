@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayscore.llm import decontamination, minhash, packing, pii, toxicity
-from wayscore.llm.common import table
-from wayscore.session import ship_package, store
+from wayscore.llm.common import prepare_workers, table
+from wayscore.session import store
 
 TOXIC_FROM = 0.3
 ORACLE_SQL = None
@@ -21,7 +21,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC_FROM``."""
     lexicon = toxicity.train_on(docs, table(spark, sf_dir, "labels"))
-    ship_package(spark)
+    prepare_workers(spark)
     return docs.where(toxicity.score_column(lexicon, F.col("text")) < TOXIC_FROM)
 
 
@@ -37,7 +37,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind, ``n_chars`` of the new text."""
-    ship_package(spark)
+    prepare_workers(spark)
     clean = docs.withColumn("text", pii.redacted(F.col("text")))
     return clean.withColumn("n_chars", F.char_length("text").cast("long"))
 

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, store
-from .common import id_and_text, table
+from ..session import store
+from .common import frugal, id_and_text, prepare_workers, table
 
 Q = 8
 RATE = 0.1  # edits per character of the item
@@ -178,6 +178,7 @@ _MATCH = "doc_id long, item_id long, edits int, start long, end long"
 
 
 def _find(shared):
+    @frugal
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for batch in batches:
@@ -200,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     benchmark is worked off in blocks, so a task holds one block of items at a time.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare_workers(spark)
     texts, found = id_and_text(docs), []
     for part in blocks(benchmark, block_chars):
         shared = spark.sparkContext.broadcast(Index.of(part))  # at most block_chars, or one item
@@ -215,6 +216,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
 
 
 def _holds(shared):
+    @frugal
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([bool(shared.value.matches(normal(t))) for t in texts], dtype="bool")
@@ -225,7 +227,7 @@ def _holds(shared):
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: Column | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare_workers(spark)
     text = F.coalesce(F.col("text") if text is None else text, F.lit(""))
     waiting = None
     for part in blocks(benchmark, block_chars):

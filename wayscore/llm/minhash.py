@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, store
-from .common import table
+from ..session import store
+from .common import frugal, prepare_workers, table
 from .components import connected_components
 
 WORDS = 5
@@ -151,6 +151,7 @@ def _words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+@frugal
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         nodes, bags, keys, size = [], [], [], 0
@@ -161,12 +162,12 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             nodes.append(hashlib.md5(name, usedforsecurity=False).digest())
             bags.append(shingles(words))
             size += len(bags[-1][0])
-            if size > 300_000:
+            if size > 100_000:
                 keys += list(band_keys(signatures(bags)))
                 bags, size = [], 0
         keys += list(band_keys(signatures(bags))) if bags else []
         yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "keys": keys})
-    _words.clear()  # the worker lives on for other stages
+    _words.clear()
 
 
 @lru_cache(maxsize=16)
@@ -175,12 +176,14 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(threshold: float):
+    @frugal
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             same = [
                 overlap(_bag(a), _bag(b)) >= threshold for a, b in zip(batch["text_a"], batch["text_b"], strict=True)
             ]
             yield batch.loc[np.array(same, bool), ["a", "b"]]
+        _bag.cache_clear()
 
     return verify
 
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     documents are then still in several components, all pairs of different components are compared,
     block by block, without writing pairs out.
     """
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     rows = docs.select(row_number().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     signed = store(rows.mapInPandas(_sign, "row long, doc_id long, node binary, keys array<long>"), "signatures")
     nodes = signed.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys"))

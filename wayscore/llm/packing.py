@@ -22,8 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import id_and_text, table
+from .common import frugal, id_and_text, prepare_workers, table
 
 LIMIT = 1024
 END_ID = 0
@@ -160,6 +159,7 @@ class Packer:
 
 
 def _pack(limit: int):
+    @frugal
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, end = tokenizer(), np.array([END_ID], dtype="<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 36, limit)
@@ -170,6 +170,7 @@ def _pack(limit: int):
                     yield packer.take()
             yield packer.take()
         packer.finish()
+        coder.clear()
         yield packer.take()
 
     return pack
@@ -181,7 +182,7 @@ def pack_documents(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     A NULL or empty text is its closing id alone; repeated rows are packed each. Sequences are
     numbered per partition of ``docs``, so a task that is run again gives the same pieces.
     """
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     return id_and_text(docs).mapInPandas(_pack(limit), PIECE_COLUMNS)
 
 

@@ -17,9 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from . import tagger
-from .common import id_and_text, table
+from .common import frugal, id_and_text, prepare_workers, table
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Look-behinds and possessive repeats only save time: a match can
@@ -137,7 +136,7 @@ def added_spans(texts: list[str], base: list[list[tuple]], model: tagger.Tagger)
             owners.append((k, start))
             parts.append(tagger.classes(text[start:end]))
             size += end - start
-            if size > 500_000:
+            if size > 100_000:
                 flush()
     flush()
     return out
@@ -231,9 +230,10 @@ def find_personal_data(docs: DataFrame, model: tagger.Tagger | None = None) -> D
     A span is kind:start:end in code points. A NULL or empty text has none: its digest is that of the
     empty string.
     """
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     model = model or trained()
 
+    @frugal
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
@@ -262,6 +262,7 @@ def redacted(text: Column, model: tagger.Tagger | None = None) -> Column:
     """The text without its personal data; NULL stays NULL."""
     model = model or trained()
 
+    @frugal
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([redact(t, base + added) for t, base, added in _spans_of(texts, model)], dtype="object")

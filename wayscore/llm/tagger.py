@@ -32,8 +32,8 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(p, x):
-    """Hidden states (time, batch, units) of class ids (time, batch), and what the way back needs."""
+def _lstm(p, x, keep=False):
+    """Hidden states (time, batch, units) of class ids (time, batch), and with ``keep`` what the way back needs."""
     steps, batch = x.shape
     units = p["wh"].shape[0]
     h, c, kept = np.zeros((batch, units)), np.zeros((batch, units)), []
@@ -45,7 +45,8 @@ def _lstm(p, x):
         g = np.tanh(z[:, 3 * units :])
         before, c = c, f * c + i * g
         squashed = np.tanh(c)
-        kept.append((h, before, i, f, o, g, squashed))
+        if keep:
+            kept.append((h, before, i, f, o, g, squashed))
         h = o * squashed
         out[t] = h
     return out, kept
@@ -94,9 +95,9 @@ class Tagger:
     out: dict  # w: (2 units, tags), b: (tags,), move: (tags, tags)
     size: int = 64
 
-    def emissions(self, x):
-        a, kept_a = _lstm(self.forward, x)
-        b, kept_b = _lstm(self.backward, x[::-1])
+    def emissions(self, x, keep=False):
+        a, kept_a = _lstm(self.forward, x, keep)
+        b, kept_b = _lstm(self.backward, x[::-1], keep)
         states = np.concatenate([a, b[::-1]], 2)
         return states @ self.out["w"] + self.out["b"], states, kept_a, kept_b
 
@@ -162,7 +163,7 @@ def fit(x: np.ndarray, y: np.ndarray, tags: int, units: int = 16, steps: int = 3
     for step in range(1, steps + 1):
         rows = rng.integers(0, len(x), batch)
         xs, ys = x[rows].T.astype(np.int64), y[rows].T.astype(np.int64)
-        emit, states, kept_a, kept_b = model.emissions(xs)
+        emit, states, kept_a, kept_b = model.emissions(xs, keep=True)
         move = model.out["move"]
         marginal, total, ahead, back = _marginals(emit, move)
         d_emit = np.exp(marginal)

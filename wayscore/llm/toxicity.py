@@ -22,8 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import held_out, id_and_text, labelled_sample, remainder, table
+from .common import frugal, held_out, id_and_text, labelled_sample, prepare_workers, remainder, table
 
 # Letters of other scripts by the Latin letter they look like.
 LOOKALIKES = str.maketrans(
@@ -37,6 +36,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "clow
 _LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
 _DISGUISED = re.compile(rb"(?<=[a-z])[0-9@$!]+(?=[a-z])|(?<![a-z0-9@$!])[0-9@$!](?=[a-z]{2})")
 PREFIXES = range(4, 8)
+FLUSH = 100_000  # terms a worker counts before it passes them on
 
 
 def fold(text: str) -> list[bytes]:
@@ -121,21 +121,30 @@ def evidence_features(total: float, words: int) -> tuple[float, float, float]:
     return 1.0, math.log1p(total), math.log1p(100.0 * total / (words + 20.0))
 
 
+def _counted(counts: Counter[bytes]) -> pd.DataFrame:
+    return pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"n": "float64"})
+
+
 def _count_terms(wanted: frozenset[bytes] | None):
     """Weighted document counts of terms; ``wanted`` restricts them."""
 
+    @frugal
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter[bytes] = Counter()
         for batch in batches:
-            counts: Counter[bytes] = Counter()
             for text, share in zip(batch["text"], batch["share"], strict=True):
                 terms = terms_of(fold(text))
                 for term in terms if wanted is None else terms & wanted:
                     counts[term] += share
-            yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
+                if len(counts) >= FLUSH:
+                    yield _counted(counts)
+                    counts.clear()
+        yield _counted(counts)
 
     return count
 
 
+@frugal
 def _marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([group_mark(fold(t)) for t in texts], dtype="int64")
@@ -192,7 +201,7 @@ def train(
     rows the lexicon is the seed words.
     """
     spark = sample.sparkSession
-    ship_package(spark)
+    prepare_workers(spark)
     seeds = {b" %s " % s.encode(): 3.0 for s in SEEDS}
     exceptions = tuple(e.encode() for e in EXCEPTIONS)
     marked = sample.select(
@@ -235,6 +244,7 @@ def train(
 def _learn_exceptions(sample: DataFrame, lexicon: Lexicon, least: int = 5) -> tuple[bytes, ...]:
     """Word pairs around a hit that are common in clean sample texts and absent from toxic ones."""
 
+    @frugal
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found: Counter[tuple[bytes, int]] = Counter()
@@ -264,6 +274,7 @@ def _learn_exceptions(sample: DataFrame, lexicon: Lexicon, least: int = 5) -> tu
 
 
 def evidence_udf(lexicon: Lexicon):
+    @frugal
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([lexicon.evidence(t) for t in texts], columns=["total", "words"]).astype(
@@ -276,6 +287,7 @@ def evidence_udf(lexicon: Lexicon):
 def score_column(lexicon: Lexicon, text: Column) -> Column:
     """The score of a text, 0 to 1; NULL counts as empty."""
 
+    @frugal
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([lexicon.score(t) for t in texts], dtype="float64")
@@ -296,7 +308,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -
 
     A NULL or empty text has no evidence and gets the lowest score; a NULL id is not held out.
     """
-    ship_package(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     rows = id_and_text(docs).select(
         "doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), score_column(lexicon, F.col("text")).alias("score")
     )
