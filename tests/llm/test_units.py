@@ -1,4 +1,4 @@
-"""The operators' methods against brute force, without Spark."""
+"""The operators' methods against brute force, nearly all without Spark."""
 
 import random
 import re
@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wayscore.llm import decontamination, embeddings, language, minhash, packing, pii, quality, tagger, tokens, toxicity
+from wayscore.llm import common, decontamination, embeddings, language, minhash, packing, pii, quality, tagger, tokens, toxicity
 
 
 def test_folding_undoes_disguises():
@@ -175,3 +175,20 @@ def test_more_signs_for_more_vectors():
     for n in (10, 10**5, 10**8):
         signs, tables = embeddings.plan(n, 0.95)
         assert (1 - (1 - np.arccos(0.95) / np.pi) ** signs) ** tables <= 1e-4
+
+
+def test_batches_keep_a_smaller_number_of_the_session(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, wanted in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(key, given)
+            common.prepare_workers(spark)
+            assert spark.conf.get(key) == wanted
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_frugal_work_gives_the_same_batches():
+    assert list(common.frugal(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]
+    assert list(common.frugal(iter)(iter([]))) == []
