@@ -91,6 +91,25 @@ def test_near_duplicate_classes(spark):
     assert minhash.without_near_duplicates(df).count() == len(set(parent.values()))
 
 
+def test_places_do_not_follow_the_split(spark):
+    words = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(300)]
+    rows = spark.createDataFrame([(i, words[i % 300]) for i in range(900)], "doc_id long, text string")
+    df = store(rows.select("*", F.lit(1).alias("_metadata"), F.lit(2).alias("file"), F.lit(3).alias("index")).coalesce(2), "places")
+    key, seen = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(key)
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set(key, size)
+            file, index = minhash.place(df)
+            seen.append(df.select(file.alias("a"), index.alias("b"), "doc_id"))
+            seen[-1] = (seen[-1].rdd.getNumPartitions(), {(r.a, r.b): r.doc_id for r in seen[-1].collect()})
+        assert seen[0][0] != seen[1][0] and seen[0][1] == seen[1][1] and len(seen[0][1]) == 900
+        left = minhash.without_near_duplicates(df)
+        assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == list(range(300))
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (200, 100), (5, 5), (40, 41), (41, 40)]
     found = connected_components(spark.createDataFrame(edges, "a long, b long"))

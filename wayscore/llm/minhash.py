@@ -155,10 +155,10 @@ def _words_of(text: str) -> list[str]:
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         nodes, bags, keys, size = [], [], [], 0
-        for row, text in zip(batch["row"], batch["text"], strict=True):
+        for file, index, text in zip(batch["file"], batch["index"], batch["text"], strict=True):
             words = _words_of(text)
             # Equal word sequences are one node; a text without words is a node of its own.
-            name = " ".join(words).encode() if words else b"\x00row %d" % row
+            name = " ".join(words).encode() if words else b"\x00row %d %d" % (file, index)
             nodes.append(hashlib.md5(name, usedforsecurity=False).digest())
             bags.append(shingles(words))
             size += len(bags[-1][0])
@@ -166,7 +166,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 keys += list(band_keys(signatures(bags)))
                 bags, size = [], 0
         keys += list(band_keys(signatures(bags))) if bags else []
-        yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "keys": keys})
+        yield batch[["file", "index", "doc_id"]].astype({"doc_id": "Int64"}).assign(node=nodes, keys=keys)
     _words.clear()
 
 
@@ -216,30 +216,31 @@ def _settle(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row, doc_id, class_id, kept for every row of the documents.
+    """file, index, doc_id, class_id, n_rows, kept for every row of the documents.
 
     A class holds what is linked, directly or through others, by a weighted Jaccard similarity of word
     shingles of at least ``threshold``; its id is its smallest doc_id, and the row kept is the first one
     of that id. Words are compared in lower case. NULL, empty and blank texts are linked with nothing.
-    A NULL id comes last. ``row`` numbers the rows of ``docs`` in the order of its files, so ``docs``
-    has to come straight from files.
+    A NULL id comes last. ``file`` and ``index`` are the row's ``place``, so ``docs`` has to come straight
+    from Parquet files.
 
     Links: every document of a bucket is verified against the bucket's smallest one. In buckets whose
     documents are then still in several components, all pairs of different components are compared,
     block by block, without writing pairs out.
     """
     prepare_workers(docs.sparkSession)
-    rows = docs.select(row_number().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = store(rows.mapInPandas(_sign, "row long, doc_id long, node binary, keys array<long>"), "signatures")
-    nodes = signed.groupBy("node").agg(F.min("row").alias("row"), F.first("keys").alias("keys"))
-    keyed = store(nodes.select("node", "row", F.posexplode("keys").alias("band", "key")), "band-keys")
+    file, index = place(docs)
+    rows = docs.select(file.alias("file"), index.alias("index"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    signed = store(rows.mapInPandas(_sign, "file long, index long, doc_id long, node binary, keys array<long>"), "signatures")
+    nodes = signed.groupBy("node").agg(F.min(F.struct("file", "index")).alias("place"), F.first("keys").alias("keys"))
+    keyed = store(nodes.select("node", "place.*", F.posexplode("keys").alias("band", "key")), "band-keys")
     hubs = store(
         keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "hubs"
     )
     member = keyed.join(hubs, ["band", "key"])
     pairs = store(member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = member.select("node", "row").distinct()
-    texts = store(rows.join(wanted, "row").select("node", "text"), "candidate-texts")
+    wanted = member.select("node", "file", "index").distinct()
+    texts = store(rows.join(wanted, ["file", "index"]).select("node", "text"), "candidate-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     links = store(pairs.join(left, "a").join(right, "b").mapInPandas(_verify(threshold), "a binary, b binary"), "links")
@@ -274,29 +275,36 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = store(more, "more-links")
     if more.limit(1).count():
         found = connected_components(links.union(more))
-    classed = signed.select("row", "doc_id", "node").join(found, "node", "left").select(
-        "row", "doc_id", F.coalesce("component", "node").alias("class")
+    classed = signed.drop("keys").join(found, "node", "left").select(
+        "file", "index", "doc_id", F.coalesce("component", "node").alias("class")
     )
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "index"))
     classed = store(classed, "classed")
     classes = store(classed.groupBy("class").agg(first.alias("first"), F.count("*").alias("n_rows")), "classes")
+    kept = (F.col("file") == F.col("first.file")) & (F.col("index") == F.col("first.index"))
     return classed.join(classes, "class").select(
-        "row", "doc_id", F.col("first.doc_id").alias("class_id"), "n_rows", (F.col("row") == F.col("first.row")).alias("kept")
+        "file", "index", "doc_id", F.col("first.doc_id").alias("class_id"), "n_rows", kept.alias("kept")
     )
 
 
-def row_number() -> Column:
-    """The row's number in the files, the same in every scan of the same files."""
-    return F.monotonically_increasing_id()
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """Hash of the row's file and its number there.
+
+    The same in every scan of the files however they are split; numbers that follow the partitions
+    change when executors come or go between two scans, as the split follows the number of cores.
+    """
+    about = docs.metadataColumn("_metadata")
+    return F.xxhash64(about["file_path"]), about["row_index"]
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with all columns; see ``near_duplicates``."""
     found = near_duplicates(docs, threshold)
-    dropped = store(found.where(~F.col("kept")).select(F.col("row").alias("__dropped_row")), "dropped-rows")
-    marked = docs.withColumn("__row", row_number())
-    return marked.join(dropped, F.col("__row") == F.col("__dropped_row"), "left_anti").drop("__row")
+    dropped = found.where(~F.col("kept")).select(F.col("file").alias("__file"), F.col("index").alias("__index"))
+    file, index = place(docs)
+    marked = docs.withColumns({"__file": file, "__index": index})
+    return marked.join(store(dropped, "dropped-rows"), ["__file", "__index"], "left_anti").select(*marked.columns[:-2])
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("file", "index")
