@@ -153,6 +153,33 @@ def test_language_scores(spark):
     assert got[60].held_out == (zlib.crc32(b"60") % 10 == 0)
 
 
+def test_language_keeps_rare_ngrams(spark):
+    """All n-grams from two occurrences count, and joined values give the automaton's own scores."""
+    rng = np.random.default_rng(5)
+    texts = ["rare pair here"] * 2 + [" ".join(rng.choice([f"w{i}" for i in range(30)], rng.integers(0, 40))) for _ in range(200)]
+    df = spark.createDataFrame([*enumerate([*texts, "a rare pair here again", "new w1 w2 w3"])], "doc_id long, text string")
+    model = language.train(df.where(f"doc_id < {len(texts)}"))
+    some = language.train(df.where(f"doc_id < {len(texts)}"), 0.01, 0.01)
+    lines = [[language.START, *language.tokens(t)] for t in texts]
+    counts = Counter(w for line in lines for w in line)
+    words = [language.START, language.END, *sorted(counts.keys() - {language.START, language.END})]
+    number = {w: i for i, w in enumerate(words)}
+    grams = [Counter(g for x in lines for g in zip(*([number[w] for w in x][k:] for k in range(size)))) for size in (2, 3)]
+    pairs, triples = ({g: n for g, n in c.items() if n >= 2} for c in grams)
+    assert (number[b"rare"], number[b"pair"]) in pairs
+    unigram = {w: model.log_p(n) for w, n in counts.items() if w != language.START}
+    automaton = language.build(unigram, counts, words, pairs, triples)
+    for m in (model, some):
+        for r, t in zip(language.score_documents(df, m).orderBy("doc_id").collect(), [t for _, t in df.collect()], strict=True):
+            score, base, known, rest = automaton.read(language.tokens(t))
+            unseen = sum(rest.values()) * model.log_p(0)
+            assert math.isclose(r.score, score + unseen, rel_tol=1e-9) and math.isclose(r.base_score, base + unseen, rel_tol=1e-9)
+            assert r.n_known == known
+    # With shares of one nothing but the start is in the workers.
+    table_only = language.score_documents(df, language.train(df.where(f"doc_id < {len(texts)}"), 1.0, 1.0)).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in table_only], [r.score for r in language.score_documents(df, model).orderBy("doc_id").collect()])
+
+
 def test_secret_spans(spark):
     key = "Zx9Qw3Er7Ty1Ui5Op2As4Df"
     rows = [

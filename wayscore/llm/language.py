@@ -1,12 +1,14 @@
 """Language-model scores from a weighted backoff automaton.
 
 Tokens are words in ASCII lower case and one end per text. All counts are taken over all training
-texts. An n-gram of two or three tokens becomes a state of the automaton when it makes up at least
-``ngram_share`` of the training tokens, so there are at most 1 / ngram_share of each order; each state
-has weighted arcs and a failure arc with its backoff weight. A text is read once from left to right:
-the state's arc is taken, or its failure arc until one fits; at the root the word's own probability
-counts. Words above ``word_share`` have their arc in the automaton; the exact count of any other word
-is joined in afterwards, spread over the cluster.
+texts. Every n-gram of two or three tokens that occurs at least ``LEAST`` times becomes an arc of the
+automaton; each history has a failure arc with its backoff weight. The weights are pushed along the
+failure arcs: the value of an n-gram is the weight of its arc less the weight of the path that the
+automaton takes without it, plus the failure weight of the history the n-gram itself becomes. The
+weight of a text's path is then the sum of the values of its n-grams, so the arcs need not be in one
+place: they are a Spark table, made by joins. A text is read once from left to right; n-grams above a
+share of the training tokens have their values in the workers, those of all others are joined in by
+n-gram, spread over the cluster.
 """
 
 from __future__ import annotations
@@ -16,20 +18,20 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, store
-from .common import held_out, id_and_text, table
+from ..session import store
+from .common import frugal, held_out, id_and_text, prepare_workers, table
 
 END = b""
 START = b"\n"  # white space, so never a word
 FLUSH = 250_000
 DISCOUNT = 0.5
 ADDED = 0.1  # added to every count
+LEAST = 2  # occurrences from which an n-gram of two or three tokens is kept
 
 
 def tokens(text: str) -> list[bytes]:
@@ -39,67 +41,66 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
-def _count_words(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    def emit(counts):
-        return pd.DataFrame({"token": list(counts), "n": list(counts.values())}).astype({"n": "int64"})
+def ngrams(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """The n-grams of two and of three tokens, joined by a space, which is in no token."""
+    line = [START, *words]
+    pairs = list(map(b" ".join, zip(line, words, strict=False)))
+    return pairs, [b"%b %b" % x for x in zip(pairs, words[1:], strict=False)]
+
+
+@frugal
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit():
+        columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(columns, ["gram", "n"])
 
     counts: Counter[bytes] = Counter()
     for batch in batches:
-        for text in batch["text"]:
-            counts.update(tokens(text))
+        for text in batch.column(0).to_pylist():
+            words = tokens(text)
+            counts.update(words)
+            for grams in ngrams(words):
+                counts.update(grams)
             if len(counts) >= FLUSH:  # keeps a worker's memory small
-                yield emit(counts)
-                counts.clear()
-    yield emit(counts)
+                yield emit()
+    yield emit()
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(token, n) over all texts, stored."""
-    parts = texts.select("text").mapInPandas(_count_words, "token binary, n long")
-    return store(parts.groupBy("token").agg(F.sum("n").alias("n")), "word-counts")
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(gram, size, n) of every word and of all n-grams that occur ``LEAST`` times, stored."""
+    parts = texts.select("text").mapInArrow(_count, "gram string, n long")
+    size = F.length("gram") - F.length(F.translate("gram", " ", "")) + 1
+    counted = parts.groupBy("gram").agg(F.sum("n").alias("n")).select("gram", size.alias("size"), "n")
+    return store(counted.where((F.col("size") == 1) | (F.col("n") >= LEAST)), "gram-counts")
 
 
-def _ngram_counts(texts: DataFrame, words: list[bytes], order: int, prefixes: set[tuple] | None, least: float) -> dict[tuple, int]:
-    """Counts of the n-grams of that order that reach ``least``, as tuples of word numbers.
+def _arcs(grams: DataFrame, size: int, lower: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs (gram, n, p, value) of the n-grams of one size and failure weights (history, back), stored.
 
-    A frequent n-gram has frequent words and a frequent beginning, so only those are counted; the
-    counts of what is kept are exact. ``words[0]`` is the start, ``words[1]`` the end.
+    ``lower`` has the probability p of each shorter n-gram, ``contexts`` the count n of each history.
+    Absolute discounting; a history's failure weight makes its probabilities sum to one.
     """
-    number = {w: i for i, w in enumerate(words)}
-    base = len(words)
-    begin = None if prefixes is None else np.array(sorted(a * base + b for a, b in prefixes), np.int64)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids: list[int] = []
-            for text in batch["text"]:
-                ids.append(0)
-                ids += [number.get(w, -1) for w in tokens(text)]
-            line = np.array(ids, np.int64)
-            key, good = line[: len(line) - order + 1].copy(), np.ones(max(0, len(line) - order + 1), bool)
-            good &= (key >= 0) & (key != 1)
-            for step in range(1, order):
-                following = line[step : len(line) - order + 1 + step]
-                # Neither the start nor, before the last place, the end can follow.
-                good &= (following > 0) & ((following != 1) | (step == order - 1))
-                if step == order - 1 and begin is not None:
-                    at = np.minimum(np.searchsorted(begin, key), len(begin) - 1)
-                    good &= begin[at] == key
-                key = key * base + following
-            keys, n = np.unique(key[good], return_counts=True)
-            yield pd.DataFrame({"gram": keys, "n": n.astype("int64")})
-
-    if prefixes is not None and not prefixes:
-        return {}
-    parts = texts.select("text").mapInPandas(count, "gram long, n long")
-    # At most 1 / ngram_share rows reach the limit.
-    kept = parts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    return {tuple(r["gram"] // base**k % base for k in range(order - 1, -1, -1)): r["n"] for r in kept}
+    history, ending = F.substring_index("gram", " ", size - 1), F.substring_index("gram", " ", 1 - size)
+    found = grams.where(F.col("size") == size).select("gram", "n", history.alias("history"), ending.alias("ending"))
+    found = store(found.join(lower.select(F.col("gram").alias("ending"), F.col("p").alias("low")), "ending"), "grams")
+    sums = found.groupBy("history").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("low").alias("low"))
+    whole = contexts.select(F.col("gram").alias("history"), F.col("n").alias("whole"))
+    least = F.lit(1e-12)
+    direct = (F.col("n") - DISCOUNT * F.col("k")) / F.col("whole")
+    back = F.log10(F.greatest(least, 1 - direct) / F.greatest(least, 1 - F.col("low")))
+    histories = store(sums.join(whole, "history").select("history", "whole", back.alias("back")), "histories")
+    p = (F.col("n") - DISCOUNT) / F.col("whole")
+    value = F.log10(p) - F.col("back") - F.log10("low")
+    arcs = found.join(histories, "history").select("gram", "n", p.alias("p"), value.alias("value"))
+    return store(arcs, "arcs"), histories.select("history", "back")
 
 
 @dataclass
 class Automaton:
-    """``arcs[state][word] = (next state, log10 weight, log10 unigram)``, ``fail[state]``, ``back[state]``."""
+    """The whole automaton in one place, for few n-grams: the same scores without pushed weights.
+
+    ``arcs[state][word] = (next state, log10 weight, log10 unigram)``, ``fail[state]``, ``back[state]``."""
 
     arcs: list[dict[bytes, tuple[int, float, float]]]
     fail: list[int]
@@ -181,69 +182,102 @@ def build(
 
 @dataclass
 class Model:
-    automaton: Automaton
-    counts: DataFrame
+    """``values`` has (gram, n, known, base, value) of each word and n-gram: what every occurrence in a
+    text adds to the number of known tokens, the base score and the score."""
+
+    values: DataFrame
     total: int
     distinct: int
-    frequent: float  # words with at least this count have an arc
+    word_least: float  # words and n-grams with at least these counts have their values in the workers
+    ngram_least: float
 
     def log_p(self, n: float) -> float:
         return math.log10((n + ADDED) / (self.total + ADDED * (self.distinct + 1)))
 
+    def common(self) -> Column:
+        word = F.instr("gram", " ") == 0
+        often = F.when(word, F.col("n") >= self.word_least).otherwise(F.col("n") >= self.ngram_least)
+        return often | (F.col("gram") == START.decode())  # every text has one start
+
 
 def train(texts: DataFrame, word_share: float = 1e-6, ngram_share: float = 5e-5) -> Model:
     """A model of all rows of ``texts`` (column ``text``; NULL is an empty text).
 
-    At most 1 / word_share words and 1 / ngram_share n-grams of each order come to the driver,
-    whatever the size of the corpus; the limits are shares of the corpus, so they behave alike at
-    every size. Without texts every word has probability 1, as the base formula says.
+    All words and all n-grams from ``LEAST`` occurrences count. The shares only say which of them have
+    their values in the workers: at most 1 / word_share words and 1 / ngram_share n-grams of each size,
+    whatever the size of the corpus. Without texts every word has probability 1, as the base formula says.
     """
-    ship_package(texts.sparkSession)
-    texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = word_counts(texts)
-    summed = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
+    prepare_workers(texts.sparkSession)
+    grams = gram_counts(texts.select(F.coalesce("text", F.lit("")).alias("text")))
+    words = grams.where(F.col("size") == 1).select("gram", "n")
+    summed = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = summed["total"] or 0, summed["distinct"]
-    frequent = max(1.0, word_share * total)
-    common = counts.where(F.col("n") >= frequent).toPandas()
-    counted = {bytes(w): int(n) for w, n in zip(common["token"], common["n"], strict=True)}
-    model = Model(None, counts, total, distinct, frequent)
-    unigram = {w: model.log_p(n) for w, n in counted.items()}
-    least = max(2.0, ngram_share * total)
-    words = [START, END, *sorted(w for w, n in counted.items() if n >= least and w != END)]
-    pairs = _ngram_counts(texts, words, 2, None, least) if END in counted else {}
-    triples = _ngram_counts(texts, words, 3, set(pairs), least)
-    counted[START] = counted.get(END, 0)
-    model.automaton = build(unigram, counted, words, pairs, triples)
-    return model
+    p = (F.col("n") + ADDED) / F.lit(total + ADDED * (distinct + 1))
+    start = words.where(F.col("gram") == END.decode()).select(F.lit(START.decode()).alias("gram"), "n")
+    pairs, after_one = _arcs(grams, 2, words.select("gram", p.alias("p")), words.unionByName(start))
+    triples, after_two = _arcs(grams, 3, pairs, pairs)
+
+    def values(arcs: DataFrame, after: DataFrame, known: int, base: Column, value: Column) -> DataFrame:
+        joined = arcs.join(after.withColumnRenamed("history", "gram"), "gram", "left")
+        pushed = value + F.coalesce("back", F.lit(0.0))
+        return joined.select("gram", "n", F.lit(known).alias("known"), base.alias("base"), pushed.alias("value"))
+
+    none, log_p, value = F.lit(0.0), F.log10(p), F.col("value")
+    table_of = values(words, after_one, 1, log_p, log_p).unionByName(values(start, after_one, 0, none, none))
+    table_of = table_of.unionByName(values(pairs, after_two, 0, none, value))
+    table_of = table_of.unionByName(triples.select("gram", "n", F.lit(0).alias("known"), none.alias("base"), "value"))
+    least = max(1.0, word_share * total), max(float(LEAST), ngram_share * total)
+    return Model(store(table_of, "values"), total, distinct, *least)
 
 
 _PARTS = (
     "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
-    "rest array<struct<token: binary, n: int>>"
+    "grams array<string>, times array<int>"
 )
-
-
-def _parts(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[c.strip().split()[0] for c in _PARTS.split(",")[:8]])
-    return frame.astype({"doc_id": "Int64"})
+_PART_ROWS, _PART_GRAMS = 500, 100_000
 
 
 def _read(shared):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = shared.value
+    names = [c.strip().split()[0] for c in _PARTS.split(",")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    @frugal
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, first = shared.value
         row = TaskContext.get().partitionId() << 40
+        rows, grams, times, ends = [], [], [], [0]
+
+        def emit():
+            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            at = pa.array(ends, pa.int32())
+            columns += [pa.ListArray.from_arrays(at, pa.array(x, k)) for x, k in ((grams, pa.string()), (times, pa.int32()))]
+            rows.clear(), grams.clear(), times.clear()
+            ends[1:] = []
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches:
-            out = []
-            for doc_id, held, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
+            for doc_id, text, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokens(text)
-                score, base, known, rest = automaton.read(words)
-                found = [{"token": w, "n": n} for w, n in rest.items()]
-                out.append((row, doc_id, held, len(words), known, base, score, found))
+                known, base, score = 0, 0.0, first
+                found = Counter(words)
+                for part in ngrams(words):
+                    found.update(part)
+                for gram, n in found.items():
+                    value = common.get(gram)
+                    if value is None:
+                        grams.append(gram)
+                        times.append(n)
+                    else:
+                        known += n * value[0]
+                        base += n * value[1]
+                        score += n * value[2]
+                rows.append((row, doc_id, held, len(words), known, base, score))
+                ends.append(len(grams))
                 row += 1
-                if len(out) == 500:
-                    yield _parts(out)
-                    out = []
-            yield _parts(out)
+                if len(rows) == _PART_ROWS or len(grams) >= _PART_GRAMS:
+                    yield emit()
+        if rows:
+            yield emit()
 
     return read
 
@@ -251,29 +285,33 @@ def _read(shared):
 def score_documents(docs: DataFrame, model: Model, divisor: int = 10, rest: int = 0) -> DataFrame:
     """Scores of every row, also repeated ones; a NULL or empty text is one end token."""
     spark = docs.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(model.automaton)  # size bounded by the two shares
-    rows = id_and_text(docs).select("doc_id", "text", held_out(F.col("doc_id"), divisor, rest).alias("held_out"))
-    parts = store(rows.mapInPandas(_read(shared), _PARTS), "partial-scores")
-    rare = parts.select("row", F.explode("rest").alias("w")).select("row", "w.token", "w.n")
-    seen = model.counts.where(F.col("n") < model.frequent).select("token", F.col("n").alias("c"))
-    scale = model.total + ADDED * (model.distinct + 1)
-    log_p = F.log10((F.coalesce("c", F.lit(0)) + ADDED) / F.lit(scale))
-    sums = (
-        rare.join(seen, "token", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("n") * log_p).alias("rare_score"),
-            F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        )
+    prepare_workers(spark)
+    common = model.values.where(model.common()).select("gram", "known", "base", "value").toPandas()
+    common = {g.encode(): tuple(v) for g, *v in common.itertuples(index=False, name=None)}
+    first = common.get(START, (0, 0.0, 0.0))[2]
+    shared = spark.sparkContext.broadcast((common, first))  # size bounded by the two shares
+    rows = id_and_text(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), divisor, rest).alias("held_out")
     )
-    rare_score, rare_known = (F.coalesce(c, F.lit(0)) for c in ("rare_score", "rare_known"))
-    return parts.drop("rest").join(sums, "row", "left").select(
+    parts = store(rows.mapInArrow(_read(shared), _PARTS), "partial-scores")
+    other = parts.select("row", F.explode(F.arrays_zip("grams", "times")).alias("w"))
+    other = other.select("row", F.col("w.grams").alias("gram"), F.col("w.times").alias("times"))
+    # A word that is nowhere in the training texts has the probability of the count 0.
+    word, unseen = F.instr("gram", " ") == 0, F.lit(model.log_p(0))
+    values = model.values.where(~model.common()).drop("n")
+    joined = other.join(values, "gram", "left")
+    add = lambda c: F.sum(F.col("times") * F.coalesce(c, F.when(word, unseen).otherwise(0.0)))
+    sums = joined.where(word | F.col("value").isNotNull()).groupBy("row").agg(
+        F.sum(F.col("times") * F.coalesce("known", F.lit(0))).alias("more_known"),
+        add("base").alias("more_base"), add("value").alias("more_score"),
+    )
+    more = lambda c: F.coalesce(c, F.lit(0))
+    return parts.drop("grams", "times").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("known") + rare_known).alias("n_known"),
+        (F.col("known") + more("more_known")).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_score).alias("base_score"),
-        (F.col("score") + rare_score).alias("score"),
+        (F.col("base") + more("more_base")).alias("base_score"),
+        (F.col("score") + more("more_score")).alias("score"),
     )
 
 
