@@ -194,6 +194,19 @@ def test_secret_spans(spark):
     assert got[8].spans == "assign:0:39,hex:9:39"
 
 
+def test_entropy_by_class_and_allowed_stretches(spark):
+    rng = np.random.default_rng(11)
+    upper = ["".join(rng.choice(list("0123456789ABCDEF"), 32)) for _ in range(30)]
+    letters = "".join(rng.permutation(list("abcdefghijkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ"))[:22])
+    found = [*upper, *(f"id-{k}" for k in upper), *(f"sample/{k}/xxxxxxxx" for k in upper), f"{'0' * 9}-{letters}", letters]
+    # The windows of the third stay below 3.0 in hex digits and below 3.6 with the z.
+    none = ["123e4567-e89b-12d3-a456-426614174000", "example" * 5, "AB12" * 8 + "z", "x" * 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    df = spark.createDataFrame(list(enumerate(found + none)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(df).collect()}
+    assert [got[i] for i in range(len(found))] == [f"entropy:0:{len(t)}" for t in found]
+    assert [got[len(found) + i] for i in range(len(none))] == [""] * len(none)
+
+
 def test_largest_entropy(spark):
     texts = ["".join(np.random.default_rng(i).choice(list("abc123XY"), 30 + i)) for i in range(10)] + ["a" * 40, "short"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

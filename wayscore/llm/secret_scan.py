@@ -1,9 +1,10 @@
 """Secret scan in DataFrame expressions only.
 
 Three fixed patterns give the base spans. On top, candidate strings are scanned with a sliding
-window: per character class the Shannon entropy of the window is kept up to date from incremental
-character counts, and a candidate whose largest entropy reaches its class's limit is a span, unless
-the allow-list excuses it. Positions are code points: the pieces between the matches and the matches
+window: the Shannon entropy of the window is kept up to date from incremental character counts, and
+the characters of each class in it are counted along, so every window is judged by the limit of its
+own class. A candidate is a span when any of its windows reaches its limit. The allow-list excuses
+only the stretches it matches: no window that touches one is judged. Positions are code points: the pieces between the matches and the matches
 themselves are measured and added up, as Spark gives no match offsets.
 """
 
@@ -25,12 +26,13 @@ MIN_ASSIGNED = 6
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % WINDOW
-# Largest window entropy in bits from which a candidate of a class counts; log2(20) is 4.32.
+# Window entropy in bits from which a window of a class counts; log2(20) is 4.32.
 LIMITS = {"hex": 3.0, "mixed": 3.6}
+# Stretches that are excused: a UUID, a run of filling or counting, a segment with a word that says so.
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|x{6}|0{8}",
-    r"(?i)abcdefghij|0123456789",
+    r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])",
+    r"(?i)x{6,}|0{8,}|abcdefghij|0123456789",
+    r"(?i)(?<![A-Z0-9])[A-Z0-9]*?(example|sample|dummy|placeholder|changeme)[A-Z0-9]*",
 )
 ALLOWED_BEFORE = r"(?i)(sha-?(1|256|512)|md5|commit|checksum|integrity|uuid)[\"']?[\s:=-]{0,3}$"
 
@@ -87,8 +89,9 @@ def _listed(spans: Column) -> Column:
     )
 
 
-def largest_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy in bits of any window of an ASCII string, 0 if it is shorter.
+def largest_entropies(text: Column, window: int = WINDOW) -> Column:
+    """The largest Shannon entropy in bits of any window of an ASCII string, 0 if there is none: ``hex``
+    of windows of hex digits alone, ``mixed`` of the others. No window goes over a space.
 
     Each step adds one character and drops one: two counts change, and with them the running sum of
     n log2 n, from which the entropy is log2(window) - sum / window.
@@ -99,7 +102,7 @@ def largest_entropy(text: Column, window: int = WINDOW) -> Column:
 
     def scan(codes: Column) -> Column:
         def step(state: Column, i: Column) -> Column:
-            counts, total = state.getField("counts"), state.getField("total")
+            counts, total, hexes = state.getField("counts"), state.getField("total"), state.getField("hexes")
             new = F.get(codes, i)
             old = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
             came, went = F.get(counts, new), F.coalesce(F.get(counts, old), F.lit(0))
@@ -114,30 +117,52 @@ def largest_entropy(text: Column, window: int = WINDOW) -> Column:
                     lambda n, at: n + F.when(at == new, 1).otherwise(0) - F.when(at == old, 1).otherwise(0),
                 )
             )
-            entropy = F.when(i >= window - 1, math.log2(window) - next_total / window).otherwise(F.lit(0.0))
+            next_hexes = hexes + _is_hex(new) - _is_hex(old)
+            spaces = F.get(counts, F.lit(32)) + F.when(new == 32, 1).otherwise(0) - F.when(old == 32, 1).otherwise(0)
+            judged = (i >= window - 1) & (spaces == 0)
+            entropy = math.log2(window) - next_total / window
+
+            def best(kind: str, of_kind: Column) -> Column:
+                return F.when(judged & of_kind, F.greatest(state.getField(kind), entropy)).otherwise(state.getField(kind))
+
             return F.struct(
-                next_counts.alias("counts"), next_total.alias("total"),
-                F.greatest(state.getField("best"), entropy).alias("best"),
+                next_counts.alias("counts"), next_total.alias("total"), next_hexes.alias("hexes"),
+                best("hex", next_hexes == window).alias("hex"), best("mixed", next_hexes < window).alias("mixed"),
             )
 
         start = F.struct(
-            F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
-        )
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda s: s.getField("best"))
+            F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("hexes"),
+            F.lit(0.0).alias("hex"), F.lit(0.0).alias("mixed"),
+        )
+        every = F.sequence(F.lit(0), F.size(codes) - 1)
+        return F.aggregate(every, start, step, lambda s: F.struct(s.getField("hex"), s.getField("mixed")))
 
     codes = F.transform(F.regexp_extract_all(text, F.lit("."), F.lit(0)), lambda c: F.ascii(c))
     # As a lambda's argument the codes are computed once, not once per step.
     return F.get(F.transform(F.array(codes), scan), F.lit(0))
 
 
+def largest_entropy(text: Column, window: int = WINDOW) -> Column:
+    """The larger of the two, whatever the class."""
+    best = largest_entropies(text, window)
+    return F.greatest(best.getField("hex"), best.getField("mixed"))
+
+
+def _is_hex(code: Column) -> Column:
+    return F.when(code.between(48, 57) | code.between(65, 70) | code.between(97, 102), 1).otherwise(0)
+
+
 def _is_secret(found: Column, window: int, limits: dict[str, float]) -> Column:
     text = found.getField("text")
-    worth = text.rlike("[0-9]") & text.rlike("[A-Za-z]")
     for allowed in ALLOWED:
-        worth &= ~text.rlike(allowed)
-    worth &= ~found.getField("before").rlike(ALLOWED_BEFORE)
-    limit = F.when(text.rlike("^[0-9a-fA-F]+$"), limits["hex"]).otherwise(limits["mixed"])
-    return F.when(worth, largest_entropy(text, window) >= limit).otherwise(F.lit(False))
+        text = F.regexp_replace(text, allowed, " ")
+    judged = text.rlike("[^ ]{%d}" % window) & ~found.getField("before").rlike(ALLOWED_BEFORE)
+    # As a lambda's argument the entropies are computed once, not once per class.
+    over = F.exists(
+        F.array(largest_entropies(text, window)),
+        lambda x: (x.getField("hex") >= limits["hex"]) | (x.getField("mixed") >= limits["mixed"]),
+    )
+    return F.when(judged, over).otherwise(F.lit(False))
 
 
 def find_secrets(docs: DataFrame, window: int = WINDOW, limits: dict[str, float] | None = None) -> DataFrame:
