@@ -34,6 +34,12 @@ def test_trie_counts_equal_word_by_word_counts():
     assert pieces.many(sorted(words)) == {w: pieces.one(w) for w in words}
 
 
+def test_count_of_a_very_long_pretoken():
+    pieces = tokens.vocabulary("piece_bpe_32k.model")
+    char = "\U000e0001"
+    assert char not in pieces.costs and pieces.many([char * 262_144 + "ab"]) == {char * 262_144 + "ab": 2**20 + pieces.one("ab")}
+
+
 @pytest.mark.parametrize(
     "text",
     ["", " ", "a  b \n\n c\t\td  ", "<|endoftext|> x", "it's 'S we'll", "日本語 x² ½ ٣٤", "nb\xa0sp \x85 \x1c x", "  lead", "trail \n", "🙂🙂 ok, so."],

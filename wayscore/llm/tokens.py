@@ -31,7 +31,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _cost(points: int, tokens: int = 1) -> int:
-    """Cost and number of tokens in one integer: sums compare by cost, then by tokens."""
+    """Cost and number of tokens in one integer: sums compare by cost, then by tokens.
+
+    Words of at most ``ALONE`` characters stay far below 2^COUNT_BITS tokens; ``one`` keeps the two apart.
+    """
     return (points << COUNT_BITS) + tokens
 
 
@@ -62,16 +65,19 @@ class Vocabulary:
 
     def one(self, word: str) -> int:
         """Tokens of one pre-token, character by character."""
-        best = [0]
+        last = [(0, 0)]  # best (cost, tokens) of the last prefixes, the whole one at the end
         for end in range(1, len(word) + 1):
             char = len(word[end - 1].encode())
-            least = best[end - 1] + _cost(UNKNOWN_COST * char, char)
+            least = last[-1][0] + UNKNOWN_COST * char, last[-1][1] + char
             for size in range(1, min(self.longest, end) + 1):
                 cost = self.costs.get(word[end - size : end])
-                if cost is not None and best[end - size] + cost < least:
-                    least = best[end - size] + cost
-            best.append(least)
-        return best[-1] & ((1 << COUNT_BITS) - 1)
+                if cost is not None:
+                    points, number = last[-size]
+                    least = min(least, (points + (cost >> COUNT_BITS), number + 1))
+            last.append(least)
+            if len(last) > self.longest:
+                del last[0]
+        return last[-1][1]
 
     def many(self, words: list[str]) -> dict[str, int]:
         """Tokens of distinct pre-tokens through their common trie."""
