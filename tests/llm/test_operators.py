@@ -231,6 +231,15 @@ def test_packing_keeps_every_id(spark, docs):
     assert all(n == 256 or n & (n - 1) == 0 for n in filled)
 
 
+def test_packed_ids_of_added_tokens(spark):
+    out = packing.pack_documents(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string"), 8).collect()
+    ids = np.array([64, 220, 50256, 275, packing.END_ID], "<u4").tobytes()
+    assert [r.doc_tokens for r in out] == [5] * len(out)
+    assert {(r.start, r.length): r.ids_crc32 for r in out} == {
+        (r.start, r.length): zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) for r in out
+    }
+
+
 def test_leaks_in_blocks(spark):
     item = "the quick brown fox jumps over the lazy dog near the river bank"
     docs = spark.createDataFrame([(1, f"x {item.upper()} y"), (2, "nothing"), (3, item.replace("fox", "fix")), (3, None)], "doc_id long, text string")

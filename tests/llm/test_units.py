@@ -50,6 +50,14 @@ def test_ids_are_the_tokenizers(text):
     assert np.frombuffer(packing.tokenizer().ids(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(
+    "text", ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "x<|endoftext|>\n", " <|endoftext|>", "<|endoftext| >", "plain text"]
+)
+def test_documents_hold_added_tokens(text):
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.frombuffer(packing.tokenizer().document(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
 def test_sum_of_squares_placement_and_tail():
     rng = np.random.default_rng(0)
     packer, sizes, squares = packing.Packer(0, 64), rng.integers(1, 200, 300), []

@@ -10,9 +10,11 @@ which need no padding.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer as Reference
 
 from .common import frugal, id_and_text, prepare_workers, table
 
@@ -38,7 +41,9 @@ class Tokenizer(dict):
     """Byte-level BPE ids as little-endian unsigned 32-bit integers.
 
     A space before a character that is no white space always starts a new pre-token, so a text can be
-    cut there. Remembers the ids of such parts, at most ``CACHE`` of at most 64 characters.
+    cut there. Remembers the ids of such parts, at most ``CACHE`` of at most 64 characters. ``ids`` takes
+    all text as ordinary; ``document`` gives the added tokens of the JSON beside the ranks, such as
+    ``<|endoftext|>``, their own ids, as the reference does by default.
     """
 
     def __init__(self, name: str = "byte_bpe_50k.tiktoken"):
@@ -48,6 +53,9 @@ class Tokenizer(dict):
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
         self.single = self.coder._core_bpe.encode_single_piece
+        self.json = public_tokenizers.path(name.replace(".tiktoken", ".json"))
+        with open(self.json, encoding="utf-8") as file:
+            self.added = [a["content"] for a in json.load(file)["added_tokens"]]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.coder.encode_ordinary(text)).tobytes()
@@ -74,6 +82,15 @@ class Tokenizer(dict):
         except _Joined:
             return self.whole(text)
 
+    @cached_property
+    def reference(self) -> Reference:
+        return Reference.from_file(self.json)
+
+    def document(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return array("I", self.reference.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.ids(text)
+
 
 _tokenizers: dict[str, Tokenizer] = {}
 
@@ -165,7 +182,7 @@ def _pack(limit: int):
         packer = Packer(TaskContext.get().partitionId() << 36, limit)
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                packer.add(None if pd.isna(doc_id) else int(doc_id), coder.ids(text) + end)
+                packer.add(None if pd.isna(doc_id) else int(doc_id), coder.document(text) + end)
                 if len(packer.done) >= 20_000:
                     yield packer.take()
             yield packer.take()
