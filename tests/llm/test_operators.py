@@ -240,6 +240,16 @@ def test_packed_ids_of_added_tokens(spark):
     }
 
 
+def test_copies_of_a_part_of_a_long_item(spark):
+    words = [f"word{i * 7919 % 1009}" for i in range(120)]
+    docs = [(1, "before " + " ".join(words[:102]) + " after"), (2, " ".join(words[25:94])), (3, " ".join(words)), (4, " ".join(words[30:60]))]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.find_leaks(df, benchmark).collect()}
+    assert sorted(got) == [1, 2, 3] and all((r.item_id, r.edits) == (9, 0) for r in got.values())
+    assert (got[1].start, got[3].start, got[3].end) == (7, 0, len(docs[2][1]))
+    assert [r.doc_id for r in decontamination.without_leaks(df, benchmark).collect()] == [4]
+
+
 def test_leaks_in_blocks(spark):
     item = "the quick brown fox jumps over the lazy dog near the river bank"
     docs = spark.createDataFrame([(1, f"x {item.upper()} y"), (2, "nothing"), (3, item.replace("fox", "fix")), (3, None)], "doc_id long, text string")

@@ -3,7 +3,8 @@
 Texts are compared in lower case with white space collapsed. An item of n characters with at most k
 edits still shares n - q + 1 - q k of its q-grams with the document, all on diagonals no more than k
 apart. Shared q-grams are counted in overlapping bands of diagonals; where a band reaches the bound,
-a banded alignment of the item with that stretch of the document decides.
+a banded alignment of the item with that stretch of the document decides. Overlapping windows of long
+items are sought in the same way, each with its own edits, so a copy of a part is found too.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .common import frugal, id_and_text, prepare_workers, table
 Q = 8
 RATE = 0.1  # edits per character of the item
 BLOCK_CHARS = 2_000_000
+WINDOW, STRIDE = 50, 20  # words; so 69 words in a row hold a whole window
 TABLE_BITS = 22
 BASE = np.uint64(0x100000001B3)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,11 +54,20 @@ def budget(n: int, q: int = Q, rate: float = RATE) -> int:
     return max(0, min(int(rate * n), (n - q) // q))
 
 
+def patterns(text: str) -> list[str]:
+    """The normalised item, then its windows if it has more than ``WINDOW`` words."""
+    words = text.split(" ")
+    last = len(words) - WINDOW
+    starts = [*range(0, last, STRIDE), last] if last > 0 else []
+    return [text, *(w for w in (" ".join(words[a : a + WINDOW]) for a in starts) if len(w) >= Q)]
+
+
 @dataclass
 class Index:
-    """The q-grams of a block of items: sorted hashes, their places, and a bit table in front."""
+    """The q-grams of a block of items and windows: sorted hashes, their places, and a bit table in front."""
 
     ids: list
+    owner: list[int]  # item of each pattern
     items: list[np.ndarray]
     keys: np.ndarray
     first: np.ndarray
@@ -67,7 +78,8 @@ class Index:
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Index:
-        items = [code_points(text) for _, text in rows]
+        cut = [(i, part) for i, (_, text) in enumerate(rows) for part in patterns(text)]
+        owner, items = [i for i, _ in cut], [code_points(part) for _, part in cut]
         hashes = [gram_hashes(c) for c in items]
         every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
@@ -77,10 +89,14 @@ class Index:
         bits = np.zeros(1 << TABLE_BITS, bool)
         bits[(keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         edits = np.array([budget(len(c)) for c in items], np.int64)
-        return cls([i for i, _ in rows], items, keys, np.append(first, len(every)), item[order], place[order], bits, edits)
+        ids, ends = [i for i, _ in rows], np.append(first, len(every))
+        return cls(ids, owner, items, keys, ends, item[order], place[order], bits, edits)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item number, edits, start, end) per item found, in the normalised text."""
+        """(item number, edits, start, end) per item found, in the normalised text.
+
+        Of an item that is not found whole it is the window with the fewest edits, then the first.
+        """
         codes = code_points(text)
         hashes = gram_hashes(codes)
         if not len(hashes) or not len(self.keys):
@@ -117,7 +133,13 @@ class Index:
             found = align(self.items[i], codes, low - width, 3 * width, int(self.edits[i]))
             if found and (i not in best or found[0] < best[i][1]):
                 best[i] = (i, *found)
-        return list(best.values())
+        found: dict[int, tuple[bool, tuple[int, int, int]]] = {}
+        for k in sorted(best):  # an item stands before its windows
+            i, match = self.owner[k], best[k][1:]
+            whole = k == 0 or self.owner[k - 1] != i
+            if whole or i not in found or not found[i][0] and match < found[i][1]:
+                found[i] = (whole, match)
+        return [(i, *match) for i, (_, match) in found.items()]
 
 
 def align(item: np.ndarray, codes: np.ndarray, low: int, width: int, edits: int) -> tuple[int, int, int] | None:
@@ -165,11 +187,12 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tupl
         text = normal(row["text"])
         if len(text) < Q:
             continue
-        if part and size + len(text) > chars:
+        more = sum(map(len, patterns(text)))
+        if part and size + more > chars:
             yield part
             part, size = [], 0
         part.append((row["item_id"], text))
-        size += len(text)
+        size += more
     if part:
         yield part
 
@@ -196,6 +219,8 @@ def _find(shared):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and benchmark item it holds: doc_id, item_id, edits, start, end.
 
+    An item is held whole or by a window of ``WINDOW`` of its words, each with its own budget of edits;
+    edits and positions are those of the whole item if it is there, else of its best window.
     Positions are in the normalised text. Repeated document rows give repeated matches. NULL and empty
     texts match nothing; items of fewer than Q characters are no evidence and match nothing. A large
     benchmark is worked off in blocks, so a task holds one block of items at a time.
