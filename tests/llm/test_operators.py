@@ -250,6 +250,15 @@ def test_copies_of_a_part_of_a_long_item(spark):
     assert [r.doc_id for r in decontamination.without_leaks(df, benchmark).collect()] == [4]
 
 
+def test_items_without_an_id(spark):
+    df = spark.createDataFrame([(1, "so the quick brown fox jumps over the lazy dog it is"), (2, "else")], "doc_id long, text string")
+    rows = [(None, "the quick brown fox jumps over the lazy dog"), (None, None), (3, "quick brown fox jumps over")]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    got = decontamination.find_leaks(df, benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(1, None, 0), (1, 3, 0)} and len(got) == 2
+    assert [r.doc_id for r in decontamination.without_leaks(df, benchmark.limit(1)).collect()] == [2]
+
+
 def test_leaks_in_blocks(spark):
     item = "the quick brown fox jumps over the lazy dog near the river bank"
     docs = spark.createDataFrame([(1, f"x {item.upper()} y"), (2, "nothing"), (3, item.replace("fox", "fix")), (3, None)], "doc_id long, text string")

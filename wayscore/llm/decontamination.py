@@ -182,7 +182,7 @@ def align(item: np.ndarray, codes: np.ndarray, low: int, width: int, edits: int)
 def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Normalised items of at least Q characters, a block of about ``chars`` characters at a time."""
     part, size = [], 0
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct()
     for row in items.orderBy("item_id", "text").toLocalIterator():
         text = normal(row["text"])
         if len(text) < Q:
@@ -211,7 +211,7 @@ def _find(shared):
                 for i, edits, start, end in index.matches(normal(text))
             ]
             frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "start", "end"])
-            yield frame.astype({"doc_id": "Int64", "item_id": "int64", "edits": "int32", "start": "int64", "end": "int64"})
+            yield frame.astype({"doc_id": "Int64", "item_id": "Int64", "edits": "int32", "start": "int64", "end": "int64"})
 
     return find
 
@@ -222,7 +222,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_C
     An item is held whole or by a window of ``WINDOW`` of its words, each with its own budget of edits;
     edits and positions are those of the whole item if it is there, else of its best window.
     Positions are in the normalised text. Repeated document rows give repeated matches. NULL and empty
-    texts match nothing; items of fewer than Q characters are no evidence and match nothing. A large
+    texts match nothing; items of fewer than Q characters are no evidence and match nothing. Items
+    with a NULL id are sought like others and give a NULL item_id; those with a NULL text are not. A large
     benchmark is worked off in blocks, so a task holds one block of items at a time.
     """
     spark = docs.sparkSession
