@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayscore.llm import (
-    decontamination, embeddings, language, minhash, packing, pii, quality, queries, secret_scan, tokens, toxicity,
+    common, decontamination, embeddings, language, minhash, packing, pii, quality, queries, secret_scan, tokens, toxicity,
 )
 from wayscore.llm.components import connected_components
 from wayscore.session import store
@@ -259,6 +259,13 @@ def test_items_without_an_id(spark):
     assert [r.doc_id for r in decontamination.without_leaks(df, benchmark.limit(1)).collect()] == [2]
 
 
+def test_sample_is_bounded_with_repeated_ids(spark):
+    df = spark.createDataFrame([(1, f"text {i:02}") for i in range(50)] + [(2, "b"), (3, None), (4, "d")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 3)) for i in range(1, 5)], "doc_id long, quality int")
+    got = common.labelled_sample(df, marks, "quality", lambda c: c.isNotNull(), 2, 2).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "text 00", 1), (2, "b", 1), (3, "", 0), (4, "d", 0)]
+
+
 def test_leaks_in_blocks(spark):
     item = "the quick brown fox jumps over the lazy dog near the river bank"
     docs = spark.createDataFrame([(1, f"x {item.upper()} y"), (2, "nothing"), (3, item.replace("fox", "fix")), (3, None)], "doc_id long, text string")

@@ -68,11 +68,11 @@ def labelled_sample(
     max_positive: int,
     max_negative: int,
 ) -> DataFrame:
-    """(text, label) of at most that many labelled documents per class, stored.
+    """(doc_id, text, label) of at most that many labelled documents per class, stored.
 
     ``learnable`` says of an id whether it may be learned from. The rows with the smallest hash
     of their id are taken, so the sample is the same on every run. Its ids are broadcast: their
-    number is bounded by the two limits.
+    number is bounded by the two limits. Of the rows of a repeated id the smallest text is taken.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & learnable(F.col("doc_id"))
@@ -83,5 +83,6 @@ def labelled_sample(
         return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
     ids = store(first(1, max_positive).union(first(0, max_negative)), "labelled-ids")
-    chosen = id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    chosen = id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    chosen = chosen.select("doc_id", "text", "label")
     return store(chosen, "labelled-texts")
