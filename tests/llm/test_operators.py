@@ -142,7 +142,7 @@ def test_language_scores(spark):
     rows = [(i, f"The cat {'sat' if i % 2 else 'ran'} on mat{i % 5} x{i}") for i in range(60)] + [(60, None), (61, "unseen words")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = df.where("doc_id < 50")
-    got = {r.doc_id: r for r in language.score_documents(df, language.train(train, 0.02, 0.02)).collect()}
+    got = {r.doc_id: r for r in language.score_documents(df, language.train(train)).collect()}
     counts = Counter(w for i, t in rows if i < 50 for w in language.tokens(t))
     n, v = sum(counts.values()), len(counts)
     for i, t in rows:
@@ -153,31 +153,79 @@ def test_language_scores(spark):
     assert got[60].held_out == (zlib.crc32(b"60") % 10 == 0)
 
 
-def test_language_keeps_rare_ngrams(spark):
-    """All n-grams from two occurrences count, and joined values give the automaton's own scores."""
+class Automaton:
+    """The whole automaton in one place: states are tuples of tokens, arcs and failure arcs as the module says."""
+
+    def __init__(self, texts, priors=language.PRIORS):
+        lines = [[language.START, *language.tokens(t)] for t in texts]
+        self.counts = Counter(tuple(x[k : k + n]) for x in lines for n in (1, 2, 3) for k in range(len(x) - n + 1))
+        words = {g: n for g, n in self.counts.items() if len(g) == 1 and g[0] != language.START}
+        self.total, self.distinct, self.priors = sum(words.values()), len(words), priors
+
+    def arc(self, state, word):
+        """Weight of the arc, None where there is none; the root has an arc for every word."""
+        if not state:
+            return (self.counts[word,] + 0.1) / (self.total + 0.1 * (self.distinct + 1))
+        n, prior = self.counts[*state, word], self.priors[len(state) - 1]
+        return (n + prior * self.follow(state[1:], word)) / (self.counts[state] + prior) if n else None
+
+    def fail(self, state):
+        prior = self.priors[len(state) - 1]
+        return prior / (self.counts[state] + prior)
+
+    def follow(self, state, word):
+        weight = self.arc(state, word)
+        return self.fail(state) * self.follow(state[1:], word) if weight is None else weight
+
+    def read(self, words):
+        state, score = (language.START,), 0.0
+        for word in words:
+            score += math.log10(self.follow(state, word))
+            state = (*state, word)[-2:]
+            while state and not self.counts[state]:
+                state = state[1:]
+        return score
+
+
+@pytest.mark.parametrize("chunk, bucket", [(language.CHUNK_TOKENS, language.BUCKET_TOKENS), (50, 40)])
+def test_language_against_one_automaton(spark, chunk, bucket):
+    """All n-grams count, and chunks give the automaton's own scores."""
     rng = np.random.default_rng(5)
     texts = ["rare pair here"] * 2 + [" ".join(rng.choice([f"w{i}" for i in range(30)], rng.integers(0, 40))) for _ in range(200)]
-    df = spark.createDataFrame([*enumerate([*texts, "a rare pair here again", "new w1 w2 w3"])], "doc_id long, text string")
-    model = language.train(df.where(f"doc_id < {len(texts)}"))
-    some = language.train(df.where(f"doc_id < {len(texts)}"), 0.01, 0.01)
-    lines = [[language.START, *language.tokens(t)] for t in texts]
-    counts = Counter(w for line in lines for w in line)
-    words = [language.START, language.END, *sorted(counts.keys() - {language.START, language.END})]
-    number = {w: i for i, w in enumerate(words)}
-    grams = [Counter(g for x in lines for g in zip(*([number[w] for w in x][k:] for k in range(size)))) for size in (2, 3)]
-    pairs, triples = ({g: n for g, n in c.items() if n >= 2} for c in grams)
-    assert (number[b"rare"], number[b"pair"]) in pairs
-    unigram = {w: model.log_p(n) for w, n in counts.items() if w != language.START}
-    automaton = language.build(unigram, counts, words, pairs, triples)
-    for m in (model, some):
-        for r, t in zip(language.score_documents(df, m).orderBy("doc_id").collect(), [t for _, t in df.collect()], strict=True):
-            score, base, known, rest = automaton.read(language.tokens(t))
-            unseen = sum(rest.values()) * model.log_p(0)
-            assert math.isclose(r.score, score + unseen, rel_tol=1e-9) and math.isclose(r.base_score, base + unseen, rel_tol=1e-9)
-            assert r.n_known == known
-    # With shares of one nothing but the start is in the workers.
-    table_only = language.score_documents(df, language.train(df.where(f"doc_id < {len(texts)}"), 1.0, 1.0)).orderBy("doc_id").collect()
-    assert np.allclose([r.score for r in table_only], [r.score for r in language.score_documents(df, model).orderBy("doc_id").collect()])
+    rows = [*enumerate([*texts, "a rare pair here again", "new w1 w2 w3", "", "once"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = language.train(df.where(f"doc_id < {len(texts)}"), chunk_tokens=chunk)
+    chunks = language.chunks_of(language._rows(df, F.lit(True), F.lit(False)), True, chunk)
+    assert chunk > 50 or chunks.count() > 50
+    automaton = Automaton(texts)
+    for r in language.read_chunks(model.chunks.unionByName(chunks), bucket_tokens=bucket).collect():
+        words = language.tokens(rows[r.doc_id][1])
+        assert math.isclose(r.score, automaton.read(words), rel_tol=1e-9)
+        assert math.isclose(r.base_score, sum(math.log10(automaton.arc((), w)) for w in words), rel_tol=1e-9)
+        assert r.n_known == sum(automaton.counts[w,] > 0 for w in words) and r.train_tokens == automaton.total
+    words = [w for (w, *more) in automaton.counts if not more and w != language.START]
+    for state in [(), (language.START,), (b"rare",), (b"rare", b"pair"), (b"w1", b"w2")]:
+        mass = sum(automaton.follow(state, w) for w in words) + automaton.follow(state, b"never seen")
+        assert abs(mass - 1) < 1e-9
+
+
+def test_language_learns_and_scores_in_one_go(spark, docs):
+    """The same rows as training and scoring apart, in any split into chunks."""
+    held = common.held_out(F.col("doc_id"), 10, 0)
+    once = {(r.doc_id, r.n_tokens): r for r in language.score_by_rest(docs).collect()}
+    apart = language.score_documents(docs.repartition(4), language.train(docs.where(~held)), chunk_tokens=1)
+    for r in apart.collect():
+        same = once[r.doc_id, r.n_tokens]
+        assert np.allclose([r.score, r.base_score], [same.score, same.base_score]) and r.held_out == same.held_out
+    nothing = language.score_documents(docs, language.train(docs.limit(0))).collect()
+    assert all(r.score == r.base_score == 0 and r.n_known == 0 for r in nothing)
+
+
+def test_planes_keep_numbers():
+    for x in ([], [0], [255, 256], [2**64 - 1, 5], [7] * 300):
+        assert language.unpack(language.pack(np.array(x, np.uint64))).tolist() == x
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 999, np.uint64))
+    assert (language._keys_in(language._keys_out(keys)) == keys).all()
 
 
 def test_secret_spans(spark):

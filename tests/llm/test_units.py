@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wayscore.llm import common, decontamination, embeddings, language, minhash, packing, pii, quality, tagger, tokens, toxicity
+from wayscore.llm import common, decontamination, embeddings, minhash, packing, pii, quality, tagger, tokens, toxicity
 
 
 def test_folding_undoes_disguises():
@@ -167,23 +167,6 @@ def test_dual_coordinate_descent_separates():
     assert w[0] > 0 > w[1] and abs(w[2]) < 0.2
 
 
-def test_automaton_probabilities_sum_to_one():
-    words = [language.START, language.END, b"a", b"b", b"c"]
-    counts = {language.START: 10, language.END: 10, b"a": 30, b"b": 20, b"c": 5}
-    total = sum(counts.values()) - 10
-    unigram = {w: np.log10(n / total) for w, n in counts.items() if w != language.START}
-    pairs = {(0, 2): 8, (2, 3): 12, (2, 1): 4}
-    automaton = language.build(unigram, counts, words, pairs, {(0, 2, 3): 5})
-    for state in range(len(automaton.arcs)):
-        mass = 0.0
-        for word in unigram:
-            at, p = state, 0.0
-            while word not in automaton.arcs[at]:
-                p, at = p + automaton.back[at], automaton.fail[at]
-            mass += 10 ** (p + automaton.arcs[at][word][1])
-        assert abs(mass - 1) < 1e-9
-
-
 def test_more_signs_for_more_vectors():
     assert embeddings.plan(10**9, 0.95)[0] > embeddings.plan(10**4, 0.95)[0]
     for n in (10, 10**5, 10**8):

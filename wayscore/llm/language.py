@@ -1,37 +1,48 @@
 """Language-model scores from a weighted backoff automaton.
 
-Tokens are words in ASCII lower case and one end per text. All counts are taken over all training
-texts. Every n-gram of two or three tokens that occurs at least ``LEAST`` times becomes an arc of the
-automaton; each history has a failure arc with its backoff weight. The weights are pushed along the
-failure arcs: the value of an n-gram is the weight of its arc less the weight of the path that the
-automaton takes without it, plus the failure weight of the history the n-gram itself becomes. The
-weight of a text's path is then the sum of the values of its n-grams, so the arcs need not be in one
-place: they are a Spark table, made by joins. A text is read once from left to right; n-grams above a
-share of the training tokens have their values in the workers, those of all others are joined in by
-n-gram, spread over the cluster.
+Tokens are words in ASCII lower case and one end per text. Every n-gram of up to three tokens of the
+training texts, also one that occurs once, is an arc of the automaton; every one that another token
+follows is a state too. The arc of a token from a history h has the weight of
+
+    p(token | h) = (count of both + prior * p(token | shorter h)) / (count of h + prior),
+
+and the failure arc of h to its shorter history that of prior / (count of h + prior), so what has no
+arc at h costs the failure arc and then what it costs there. The empty history is the root, whose arcs
+are the words' own probabilities.
+
+Texts are numbered into chunks of bounded size. A chunk sends the n-grams that it holds, as sorted
+hashes with their counts, to buckets by hash; a bucket adds them up and answers each chunk with the
+sums. So a chunk is given the part of the automaton that its texts can reach, and reads them with it.
+What moves is a few bytes per token, and no task holds more than a chunk or a bucket.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import store
+from ..session import new_path
 from .common import frugal, held_out, id_and_text, prepare_workers, table
 
 END = b""
 START = b"\n"  # white space, so never a word
-FLUSH = 250_000
-DISCOUNT = 0.5
-ADDED = 0.1  # added to every count
-LEAST = 2  # occurrences from which an n-gram of two or three tokens is kept
+ADDED = 0.1  # added to every count of a word
+PRIORS = (200.0, 5.0)  # of pairs and of triples, in occurrences of the history
+SIZES = (1, 2, 3)
+CHUNK_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000  # tokens of all chunks for each bucket
+SPARE_BITS = 20  # one n-gram in 2^20 may share its hash with another; words have 64 bits
+
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -41,282 +52,303 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
-def ngrams(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """The n-grams of two and of three tokens, joined by a space, which is in no token."""
-    line = [START, *words]
-    pairs = list(map(b" ".join, zip(line, words, strict=False)))
-    return pairs, [b"%b %b" % x for x in zip(pairs, words[1:], strict=False)]
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-@frugal
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def emit():
-        columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(columns, ["gram", "n"])
+def after(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a history with one more token."""
+    x = history * _K1 + word
+    x ^= x >> np.uint64(31)
+    x *= _K2
+    return x ^ (x >> np.uint64(29))
 
-    counts: Counter[bytes] = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            words = tokens(text)
-            counts.update(words)
-            for grams in ngrams(words):
-                counts.update(grams)
-            if len(counts) >= FLUSH:  # keeps a worker's memory small
-                yield emit()
-    yield emit()
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 as byte planes, as many as the largest needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + planes.T.tobytes()
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, size, n) of every word and of all n-grams that occur ``LEAST`` times, stored."""
-    parts = texts.select("text").mapInArrow(_count, "gram string, n long")
-    size = F.length("gram") - F.length(F.translate("gram", " ", "")) + 1
-    counted = parts.groupBy("gram").agg(F.sum("n").alias("n")).select("gram", size.alias("size"), "n")
-    return store(counted.where((F.col("size") == 1) | (F.col("n") >= LEAST)), "gram-counts")
 
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64)
 
-def _arcs(grams: DataFrame, size: int, lower: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Arcs (gram, n, p, value) of the n-grams of one size and failure weights (history, back), stored.
 
-    ``lower`` has the probability p of each shorter n-gram, ``contexts`` the count n of each history.
-    Absolute discounting; a history's failure weight makes its probabilities sum to one.
-    """
-    history, ending = F.substring_index("gram", " ", size - 1), F.substring_index("gram", " ", 1 - size)
-    found = grams.where(F.col("size") == size).select("gram", "n", history.alias("history"), ending.alias("ending"))
-    found = store(found.join(lower.select(F.col("gram").alias("ending"), F.col("p").alias("low")), "ending"), "grams")
-    sums = found.groupBy("history").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("low").alias("low"))
-    whole = contexts.select(F.col("gram").alias("history"), F.col("n").alias("whole"))
-    least = F.lit(1e-12)
-    direct = (F.col("n") - DISCOUNT * F.col("k")) / F.col("whole")
-    back = F.log10(F.greatest(least, 1 - direct) / F.greatest(least, 1 - F.col("low")))
-    histories = store(sums.join(whole, "history").select("history", "whole", back.alias("back")), "histories")
-    p = (F.col("n") - DISCOUNT) / F.col("whole")
-    value = F.log10(p) - F.col("back") - F.log10("low")
-    arcs = found.join(histories, "history").select("gram", "n", p.alias("p"), value.alias("value"))
-    return store(arcs, "arcs"), histories.select("history", "back")
+class _Numbers(dict):
+    """Numbers words in the order in which they come."""
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-@dataclass
-class Automaton:
-    """The whole automaton in one place, for few n-grams: the same scores without pushed weights.
-
-    ``arcs[state][word] = (next state, log10 weight, log10 unigram)``, ``fail[state]``, ``back[state]``."""
-
-    arcs: list[dict[bytes, tuple[int, float, float]]]
-    fail: list[int]
-    back: list[float]
-    start: int
-
-    def read(self, words: list[bytes]) -> tuple[float, float, int, dict[bytes, int]]:
-        """Score and base score without the words that have no arc, their number of known tokens, and
-        those words with their counts."""
-        arcs, fail, back = self.arcs, self.fail, self.back
-        state, score, base, known = self.start, 0.0, 0.0, 0
-        rest: dict[bytes, int] = {}
-        for word in words:
-            arc = arcs[state].get(word)
-            while arc is None and state:
-                score += back[state]
-                state = fail[state]
-                arc = arcs[state].get(word)
-            if arc is None:
-                rest[word] = rest.get(word, 0) + 1
-            else:
-                state = arc[0]
-                score += arc[1]
-                base += arc[2]
-                known += 1
-        return score, base, known, rest
-
-
-def build(
-    unigram: dict[bytes, float], counts: dict[bytes, int], words: list[bytes],
-    pairs: dict[tuple, int], triples: dict[tuple, int],
-) -> Automaton:
-    """Absolute discounting; a state's backoff weight makes its probabilities sum to one."""
-    states: dict[tuple, int] = {(): 0}
-    for gram in sorted({p[:1] for p in pairs} | {t[:2] for t in triples}, key=lambda g: (len(g), g)):
-        states[gram] = len(states)
-    arcs: list[dict] = [{} for _ in states]
-    fail, back = [0] * len(states), [0.0] * len(states)
-
-    def landing(gram: tuple) -> int:
-        while gram not in states:
-            gram = gram[1:]
-        return states[gram]
-
-    numbers = {w: i for i, w in enumerate(words)}
-    for word, log_p in unigram.items():
-        n = numbers.get(word)
-        arcs[0][word] = (landing((n,)) if n is not None and word != END else 0, log_p, log_p)
-
-    def probability(state: int, word: bytes) -> float:
-        total = 0.0
-        while word not in arcs[state]:
-            total += back[state]
-            state = fail[state]
-        return 10 ** (total + arcs[state][word][1])
-
-    for grams, context_count in (
-        (pairs, lambda h: counts[words[h[0]]]),
-        (triples, lambda h: pairs[h]),
-    ):
-        following: dict[tuple, list] = {}
-        for gram, n in grams.items():
-            following.setdefault(gram[:-1], []).append((gram, n))
-        for history, items in following.items():
-            state = states[history]
-            fail[state] = landing(history[1:])
-            whole = context_count(history)
-            direct = lower = 0.0
-            for gram, n in items:
-                word = words[gram[-1]]
-                p = (n - DISCOUNT) / whole
-                direct += p
-                lower += probability(fail[state], word)
-                end = 0 if word == END else landing(gram)
-                arcs[state][word] = (end, math.log10(p), unigram[word])
-            back[state] = math.log10(max(1e-12, 1 - direct) / max(1e-12, 1 - lower))
-    return Automaton(arcs, fail, back, states.get((0,), 0))
 
+_CHUNK = (
+    "chunk long, doc_id array<long>, held_out array<boolean>, learn array<boolean>, score boolean, "
+    "sizes array<long>, words binary, codes binary, tokens long"
+)
+_CHUNK_SCHEMA = pa.schema([
+    ("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("learn", pa.list_(pa.bool_())),
+    ("score", pa.bool_()), ("sizes", pa.list_(pa.int64())), ("words", pa.binary()), ("codes", pa.binary()), ("tokens", pa.int64()),
+])
 
-@dataclass
-class Model:
-    """``values`` has (gram, n, known, base, value) of each word and n-gram: what every occurrence in a
-    text adds to the number of known tokens, the base score and the score."""
 
-    values: DataFrame
-    total: int
-    distinct: int
-    word_least: float  # words and n-grams with at least these counts have their values in the workers
-    ngram_least: float
+def _number(score: bool, chunk_tokens: int):
+    @frugal
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, codes, docs = _Numbers(), array("I"), []
+        chunk = TaskContext.get().partitionId() << 33 | score
 
-    def log_p(self, n: float) -> float:
-        return math.log10((n + ADDED) / (self.total + ADDED * (self.distinct + 1)))
+        def emit():
+            # Common words get small numbers, which pack well.
+            order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            ids, held, learn, sizes = (list(x) for x in zip(*docs, strict=True))
+            row = [
+                chunk, ids, held, learn, score, sizes, hashes_of(list(words))[order].tobytes(),
+                pack(rank[np.frombuffer(codes, np.uint32)]), len(codes),
+            ]
+            columns = [pa.array([x], f.type) for x, f in zip(row, _CHUNK_SCHEMA, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, schema=_CHUNK_SCHEMA)
 
-    def common(self) -> Column:
-        word = F.instr("gram", " ") == 0
-        often = F.when(word, F.col("n") >= self.word_least).otherwise(F.col("n") >= self.ngram_least)
-        return often | (F.col("gram") == START.decode())  # every text has one start
+        for batch in batches:
+            for doc_id, text, held, learn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = tokens(text)
+                codes.extend(map(words.__getitem__, found))
+                docs.append((doc_id, held, learn, len(found)))
+                if len(codes) >= chunk_tokens:
+                    yield emit()
+                    words, codes, docs, chunk = _Numbers(), array("I"), [], chunk + 2
+        if docs:
+            yield emit()
 
+    return number
 
-def train(texts: DataFrame, word_share: float = 1e-6, ngram_share: float = 5e-5) -> Model:
-    """A model of all rows of ``texts`` (column ``text``; NULL is an empty text).
 
-    All words and all n-grams from ``LEAST`` occurrences count. The shares only say which of them have
-    their values in the workers: at most 1 / word_share words and 1 / ngram_share n-grams of each size,
-    whatever the size of the corpus. Without texts every word has probability 1, as the base formula says.
+@dataclass
+class Chunk:
+    """The texts of a chunk one behind the other. ``first`` says where they begin."""
+
+    words: np.ndarray
+    codes: np.ndarray
+    sizes: np.ndarray
+    learn: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Chunk:
+        sizes = np.array(row["sizes"], np.int64)
+        learn = np.repeat(np.array(row["learn"], bool), sizes)
+        return cls(np.frombuffer(row["words"], np.uint64), unpack(row["codes"]).astype(np.int64), sizes, learn)
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def keys(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For words, pairs and triples: a key of the n-gram that ends at each place, and these places.
+
+        A text's first pair and triple begin with ``START``; at its first place no triple ends.
+        """
+        word, cut = self.words[self.codes], np.uint64(64 - bits)
+        yield word, np.arange(len(word))
+        before = np.roll(word, 1)
+        before[self.first] = hashes_of([START])[0]
+        pair = after(before, word)
+        yield pair >> cut, np.arange(len(word))
+        inner = np.ones(len(word), bool)
+        inner[self.first] = False
+        places = np.flatnonzero(inner)
+        yield after(pair[places - 1], word[places]) >> cut, places
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and for each key its number among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], number
+
+
+def _keys_out(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the steps between them."""
+    return keys[:1].tobytes() + pack(np.diff(keys))
+
+
+def _keys_in(data: bytes) -> np.ndarray:
+    first = np.frombuffer(data, np.uint64, 1)
+    return np.cumsum(np.concatenate([first, unpack(data[8:])]), dtype=np.uint64)
+
+
+_ASKED = "size int, bucket long, chunk long, score boolean, keys binary, counts binary"
+_ASKED_SCHEMA = pa.schema([
+    ("size", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("score", pa.bool_()),
+    ("keys", pa.binary()), ("counts", pa.binary()),
+])
+
+
+def _ask(bits: int, bucket_bits: int):
+    @frugal
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk.of(row)
+                for size, (keys, places) in zip(SIZES, chunk.keys(bits), strict=True):
+                    found, number = distinct(keys)
+                    counts = np.bincount(number, chunk.learn[places], minlength=len(found)).astype(np.uint64)
+                    wide = 64 if size == 1 else bits
+                    bucket = (found >> np.uint64(wide - bucket_bits) if bucket_bits else found * np.uint64(0)).astype(np.int64)
+                    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 62))
+                    rows = [
+                        (size, int(bucket[a]), row["chunk"], row["score"], _keys_out(found[a:b]), pack(counts[a:b]))
+                        for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+                    ]
+                    if rows:
+                        columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ASKED_SCHEMA, strict=True)]
+                        yield pa.RecordBatch.from_arrays(columns, schema=_ASKED_SCHEMA)
+
+    return ask
+
+
+_ANSWER = "chunk long, size int, bucket long, counts binary, different long, total long"
+_ANSWER_SCHEMA = pa.schema([
+    ("chunk", pa.int64()), ("size", pa.int32()), ("bucket", pa.int64()), ("counts", pa.binary()),
+    ("different", pa.int64()), ("total", pa.int64()),
+])
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Sums of one bucket, for each chunk in the order of its keys; and a row with no chunk about them all."""
+    rows = asked.to_pylist()
+    keys = [_keys_in(r["keys"]) for r in rows]
+    found, number = distinct(np.concatenate(keys))
+    counts = np.concatenate([unpack(r["counts"]) for r in rows])
+    sums = np.bincount(number, counts).astype(np.int64)  # whole numbers below 2^53
+    size, bucket = rows[0]["size"], rows[0]["bucket"]
+    out = [(None, size, bucket, None, int((sums > 0).sum()), int(sums.sum()))]
+    ends = np.cumsum([len(k) for k in keys])
+    for row, part in zip(rows, np.split(sums[number], ends[:-1]), strict=True):
+        if row["score"]:
+            out.append((row["chunk"], size, bucket, pack(part.astype(np.uint64)), None, None))
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _ANSWER_SCHEMA, strict=True)], schema=_ANSWER_SCHEMA)
+
+
+def smoothed(count: np.ndarray, history: np.ndarray, lower: np.ndarray, prior: float) -> np.ndarray:
+    """Weight of the arc of an n-gram; at count 0 it is the failure arc's, prior / (history + prior), times
+    what the token weighs from there, and at an unknown history the failure arc weighs 1."""
+    return (count + prior * lower) / (history + prior)
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _read(total: int, distinct_words: int, bits: int, priors: tuple[float, float]):
+    """All texts of a chunk, from left to right at once.
+
+    The state after a place is the longest history there that the automaton has. With an n-gram it
+    has all shorter ends of it, so the state only depends on the last two tokens, not on the way.
     """
-    prepare_workers(texts.sparkSession)
-    grams = gram_counts(texts.select(F.coalesce("text", F.lit("")).alias("text")))
-    words = grams.where(F.col("size") == 1).select("gram", "n")
-    summed = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = summed["total"] or 0, summed["distinct"]
-    p = (F.col("n") + ADDED) / F.lit(total + ADDED * (distinct + 1))
-    start = words.where(F.col("gram") == END.decode()).select(F.lit(START.decode()).alias("gram"), "n")
-    pairs, after_one = _arcs(grams, 2, words.select("gram", p.alias("p")), words.unionByName(start))
-    triples, after_two = _arcs(grams, 3, pairs, pairs)
-
-    def values(arcs: DataFrame, after: DataFrame, known: int, base: Column, value: Column) -> DataFrame:
-        joined = arcs.join(after.withColumnRenamed("history", "gram"), "gram", "left")
-        pushed = value + F.coalesce("back", F.lit(0.0))
-        return joined.select("gram", "n", F.lit(known).alias("known"), base.alias("base"), pushed.alias("value"))
-
-    none, log_p, value = F.lit(0.0), F.log10(p), F.col("value")
-    table_of = values(words, after_one, 1, log_p, log_p).unionByName(values(start, after_one, 0, none, none))
-    table_of = table_of.unionByName(values(pairs, after_two, 0, none, value))
-    table_of = table_of.unionByName(triples.select("gram", "n", F.lit(0).alias("known"), none.alias("base"), "value"))
-    least = max(1.0, word_share * total), max(float(LEAST), ngram_share * total)
-    return Model(store(table_of, "values"), total, distinct, *least)
-
-
-_PARTS = (
-    "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
-    "grams array<string>, times array<int>"
-)
-_PART_ROWS, _PART_GRAMS = 500, 100_000
 
+    def read(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunks.to_pylist()[0]
+        chunk = Chunk.of(row)
+        told: dict[int, list] = {size: [] for size in SIZES}
+        for a in sorted(answers.select(["size", "bucket", "counts"]).to_pylist(), key=lambda a: a["bucket"]):
+            told[a["size"]].append(unpack(a["counts"]))
+        counts = []
+        for size, (keys, places) in zip(SIZES, chunk.keys(bits), strict=True):
+            here = np.zeros(len(chunk.codes))
+            if len(places):
+                here[places] = np.concatenate(told[size]).astype(np.float64)[distinct(keys)[1]]
+            counts.append(here)
+        word, pair, triple = counts
+        first = chunk.first
+        history, two = np.roll(word, 1), np.roll(pair, 1)
+        history[first], two[first] = word[-1], 0  # training texts have as many starts as ends
+        p = base = (word + ADDED) / (total + ADDED * (distinct_words + 1))
+        for count, before, prior in ((pair, history, priors[0]), (triple, two, priors[1])):
+            p = smoothed(count, before, p, prior)
+        add = lambda x: pa.array(np.add.reduceat(x, first))
+        columns = [
+            pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(chunk.sizes),
+            add((word > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p)),
+        ]
+        return pa.Table.from_arrays(columns, [c.split()[0] for c in _SCORED.split(", ")])
+
+    return read
 
-def _read(shared):
-    names = [c.strip().split()[0] for c in _PARTS.split(",")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-    @frugal
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, first = shared.value
-        row = TaskContext.get().partitionId() << 40
-        rows, grams, times, ends = [], [], [], [0]
+def _packed(df: DataFrame, name: str) -> DataFrame:
+    """As ``store``, for bytes that are worth a better codec."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def chunks_of(rows: DataFrame, score: bool, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """The texts of ``rows`` (doc_id, text, held_out, learn) as numbered chunks, stored."""
+    prepare_workers(rows.sparkSession)
+    chosen = rows.select("doc_id", "text", "held_out", "learn")
+    return _packed(chosen.mapInArrow(_number(score, chunk_tokens), _CHUNK), "text-chunks")
+
+
+def read_chunks(chunks: DataFrame, priors: tuple[float, float] = PRIORS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """Learn from the texts to be learned from, score those to be scored."""
+    placed = chunks.agg(F.sum("tokens")).first()[0] or 0
+    bits = min(64, SPARE_BITS + max(1, placed).bit_length())
+    bucket_bits = min(bits, max(0, math.ceil(math.log2(max(1, placed) / bucket_tokens))))
+    asked = chunks.mapInArrow(_ask(bits, bucket_bits), _ASKED)
+    answers = _packed(asked.groupBy("size", "bucket").applyInArrow(_answer, _ANSWER), "n-gram-counts")
+    known = answers.where("chunk IS NULL AND size = 1").agg(F.sum("different").alias("different"), F.sum("total").alias("total")).first()
+    total, different = known["total"] or 0, known["different"] or 0
+    read = _read(total, different, bits, priors)
+    own = chunks.where("score").groupBy("chunk")
+    scored = own.cogroup(answers.where("chunk IS NOT NULL").groupBy("chunk")).applyInArrow(read, _SCORED)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
 
-        def emit():
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            at = pa.array(ends, pa.int32())
-            columns += [pa.ListArray.from_arrays(at, pa.array(x, k)) for x, k in ((grams, pa.string()), (times, pa.int32()))]
-            rows.clear(), grams.clear(), times.clear()
-            ends[1:] = []
-            return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
-            for doc_id, text, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = tokens(text)
-                known, base, score = 0, 0.0, first
-                found = Counter(words)
-                for part in ngrams(words):
-                    found.update(part)
-                for gram, n in found.items():
-                    value = common.get(gram)
-                    if value is None:
-                        grams.append(gram)
-                        times.append(n)
-                    else:
-                        known += n * value[0]
-                        base += n * value[1]
-                        score += n * value[2]
-                rows.append((row, doc_id, held, len(words), known, base, score))
-                ends.append(len(grams))
-                row += 1
-                if len(rows) == _PART_ROWS or len(grams) >= _PART_GRAMS:
-                    yield emit()
-        if rows:
-            yield emit()
+def _rows(docs: DataFrame, held: Column, learn: Column) -> DataFrame:
+    return id_and_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"), learn.alias("learn"))
 
-    return read
+
+@dataclass
+class Model:
+    """The training texts as chunks; the automaton's counts are gathered where texts are scored."""
+
+    chunks: DataFrame
+    priors: tuple[float, float]
+
+
+def train(texts: DataFrame, priors: tuple[float, float] = PRIORS, chunk_tokens: int = CHUNK_TOKENS) -> Model:
+    """A model of all rows of ``texts`` (column ``text``; NULL is an empty text).
+
+    Without texts every word has probability 1, as the base formula says.
+    """
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = texts.select(F.lit(None).cast("long").alias("doc_id"), text, F.lit(False).alias("held_out"), F.lit(True).alias("learn"))
+    return Model(chunks_of(rows, False, chunk_tokens), priors)
 
 
-def score_documents(docs: DataFrame, model: Model, divisor: int = 10, rest: int = 0) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, divisor: int = 10, rest: int = 0, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Scores of every row, also repeated ones; a NULL or empty text is one end token."""
-    spark = docs.sparkSession
-    prepare_workers(spark)
-    common = model.values.where(model.common()).select("gram", "known", "base", "value").toPandas()
-    common = {g.encode(): tuple(v) for g, *v in common.itertuples(index=False, name=None)}
-    first = common.get(START, (0, 0.0, 0.0))[2]
-    shared = spark.sparkContext.broadcast((common, first))  # size bounded by the two shares
-    rows = id_and_text(docs).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), divisor, rest).alias("held_out")
-    )
-    parts = store(rows.mapInArrow(_read(shared), _PARTS), "partial-scores")
-    other = parts.select("row", F.explode(F.arrays_zip("grams", "times")).alias("w"))
-    other = other.select("row", F.col("w.grams").alias("gram"), F.col("w.times").alias("times"))
-    # A word that is nowhere in the training texts has the probability of the count 0.
-    word, unseen = F.instr("gram", " ") == 0, F.lit(model.log_p(0))
-    values = model.values.where(~model.common()).drop("n")
-    joined = other.join(values, "gram", "left")
-    add = lambda c: F.sum(F.col("times") * F.coalesce(c, F.when(word, unseen).otherwise(0.0)))
-    sums = joined.where(word | F.col("value").isNotNull()).groupBy("row").agg(
-        F.sum(F.col("times") * F.coalesce("known", F.lit(0))).alias("more_known"),
-        add("base").alias("more_base"), add("value").alias("more_score"),
-    )
-    more = lambda c: F.coalesce(c, F.lit(0))
-    return parts.drop("grams", "times").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("known") + more("more_known")).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more("more_base")).alias("base_score"),
-        (F.col("score") + more("more_score")).alias("score"),
-    )
+    rows = _rows(docs, held_out(F.col("doc_id"), divisor, rest), F.lit(False))
+    return read_chunks(model.chunks.unionByName(chunks_of(rows, True, chunk_tokens)), model.priors)
+
+
+def score_by_rest(docs: DataFrame, divisor: int = 10, rest: int = 0, priors: tuple[float, float] = PRIORS) -> DataFrame:
+    """Learn from the rows that aren't held out, score all rows, in one go; a NULL id is not held out."""
+    held = held_out(F.col("doc_id"), divisor, rest)
+    return read_chunks(chunks_of(_rows(docs, held, ~held), True), priors)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from rows whose crc32 of the id modulo 10 is not 0, score all rows."""
-    docs = table(spark, sf_dir, "documents")
-    learned = id_and_text(docs).where(~held_out(F.col("doc_id"), 10, 0))
-    return score_documents(docs, train(learned))
+    return score_by_rest(table(spark, sf_dir, "documents"))
