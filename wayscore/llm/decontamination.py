@@ -2,8 +2,8 @@
 
 Texts are compared in lower case with white space collapsed. An item of n characters with at most k
 edits still shares n - q + 1 - q k of its q-grams with the document, all on diagonals no more than k
-apart. Shared q-grams are counted in overlapping bands of diagonals; where a band reaches the bound,
-a banded alignment of the item with that stretch of the document decides. Overlapping windows of long
+apart. Shared q-grams are counted in the overlapping bands of k + 1 diagonals that begin at each of
+them; where a band reaches the bound, a banded alignment of the item with that stretch of the document decides. Overlapping windows of long
 items are sought in the same way, each with its own edits, so a copy of a part is found too.
 """
 
@@ -75,6 +75,7 @@ class Index:
     place: np.ndarray
     bits: np.ndarray
     edits: np.ndarray
+    need: np.ndarray  # shared q-grams that the lemma asks for
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Index:
@@ -88,9 +89,10 @@ class Index:
         keys, first = np.unique(every[order], return_index=True)
         bits = np.zeros(1 << TABLE_BITS, bool)
         bits[(keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        edits = np.array([budget(len(c)) for c in items], np.int64)
+        sizes = np.array([len(c) for c in items], np.int64)
+        edits = np.array([budget(n) for n in sizes.tolist()], np.int64)
         ids, ends = [i for i, _ in rows], np.append(first, len(every))
-        return cls(ids, owner, items, keys, ends, item[order], place[order], bits, edits)
+        return cls(ids, owner, items, keys, ends, item[order], place[order], bits, edits, sizes - Q + 1 - Q * edits)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item number, edits, start, end) per item found, in the normalised text.
@@ -112,24 +114,24 @@ class Index:
         posting = np.repeat(self.first[at], times) + np.arange(total) - np.repeat(np.cumsum(times) - times, times)
         item = self.item[posting]
         diagonal = np.repeat(near, times) - self.place[posting]
-        width = self.edits[item] + 1
-        # A band covers two neighbouring cells of ``width`` diagonals.
-        cell, shift = diagonal // width, np.int64(1) << 40
-        cells, count = np.unique(item * shift + cell + (shift >> 1), return_counts=True)
-        following = np.zeros_like(count)
-        if len(cells) > 1:
-            following[:-1] = np.where(np.diff(cells) == 1, count[1:], 0)
+        # The edits move a match by as many diagonals at most: every band of so many counts on its own.
+        shift = np.int64(1) << 40
+        half = shift >> 1
+        shared = np.sort(item * shift + diagonal + half)
+        item = shared // shift
+        count = np.searchsorted(shared, shared + self.edits[item], side="right") - np.arange(total)
+        enough = count >= self.need[item]
+        item = item[enough]
+        cells = np.unique(item * shift + (shared[enough] % shift - half) // (self.edits[item] + 1) + half)
         item = cells // shift
-        sizes = np.array([len(c) for c in self.items])
-        need = sizes - Q + 1 - Q * self.edits
         best: dict[int, tuple[int, int, int, int]] = {}
-        for k in np.flatnonzero(count + following >= need[item]):
-            i = int(item[k])
+        for k, i in enumerate(item.tolist()):
             if i in best and best[i][1] == 0:
                 continue
             width = int(self.edits[i]) + 1
-            low = (int(cells[k]) % int(shift) - int(shift >> 1)) * width
-            # The alignment may begin in the cell before, where no q-gram was left whole.
+            low = int(cells[k] % shift - half) * width
+            # Bands that begin in this cell reach into the next; the alignment may begin in the cell
+            # before, where no q-gram was left whole.
             found = align(self.items[i], codes, low - width, 3 * width, int(self.edits[i]))
             if found and (i not in best or found[0] < best[i][1]):
                 best[i] = (i, *found)
