@@ -18,6 +18,18 @@ def test_folding_undoes_disguises():
     ]
 
 
+@pytest.mark.parametrize("text", ["1d1ot", "!d!ot", "@idiot", "idiot1", "1DI0T!!", "5idiot", "ID10T"])
+def test_disguised_words_are_found_from_the_first_letter(text):
+    lexicon = toxicity.Lexicon({b" idiot ": 3.0})
+    assert lexicon.evidence(f"you {text}, go") == (3.0, 3)
+
+
+def test_one_may_be_an_l():
+    lexicon = toxicity.Lexicon({b" loser ": 3.0, b" asshole ": 4.0})
+    assert lexicon.evidence("1oser")[0] == 3 and lexicon.evidence("a55ho1e")[0] == 4 and lexicon.evidence("asshol3")[0] == 4
+    assert toxicity.read("10 2024 3.5 -- !!") == ([], [])
+
+
 def test_exception_phrases_excuse_hits():
     lexicon = toxicity.Lexicon({b" trash ": 3.0, b" lowei": 2.0}, (b"trash can",))
     assert lexicon.evidence("the trash can")[0] == 0

@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -28,24 +29,47 @@ from .common import frugal, held_out, id_and_text, labelled_sample, prepare_work
 LOOKALIKES = str.maketrans(
     "аеорсухіјѕԁһӏьвкмнтαοερτυικνχ", "aeopcyxijsdhlbbkmhtaoeptuiknx"
 )
-# Digits and signs by the letter they stand for inside a word.
+# Digits and signs by the letter they stand for inside a word; 1 is read in two ways.
 SUBSTITUTES = bytes.maketrans(b"013456789@$!", b"oieasgtbgasi")
+SUBSTITUTES_L = bytes.maketrans(b"013456789@$!", b"oleasgtbgasi")
 SEEDS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "scum", "trash")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "clown fish", "pond scum")
 
 _LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
-_DISGUISED = re.compile(rb"(?<=[a-z])[0-9@$!]+(?=[a-z])|(?<![a-z0-9@$!])[0-9@$!](?=[a-z]{2})")
+_SIGNS = b"0123456789@$!"
+# A whole run of letters, digits and signs that has both.
+_DISGUISED = re.compile(rb"(?<![a-z0-9@$!])(?=[a-z]*[0-9@$!])(?=[0-9@$!]*[a-z])[a-z0-9@$!]+")
 PREFIXES = range(4, 8)
 FLUSH = 100_000  # terms a worker counts before it passes them on
 
 
-def fold(text: str) -> list[bytes]:
-    """The words of a text in plain lower-case letters, disguises undone."""
+@lru_cache(maxsize=10_000)
+def _readings(run: bytes) -> list[bytes]:
+    """What a run may say, the likeliest first: signs around a word may be part of it or not, and 1 may be
+    i or l."""
+    tail, whole = run.rstrip(_SIGNS), run.rstrip(b"!")
+    forms = (tail, whole, tail.lstrip(_SIGNS))
+    return list(dict.fromkeys(f.translate(t) for t in (SUBSTITUTES, SUBSTITUTES_L) for f in forms))
+
+
+def read(text: str) -> tuple[list[bytes], list[bytes]]:
+    """The words of a text in plain lower-case letters, disguises undone, and the disguised words' other readings."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.lower().translate(LOOKALIKES))
     raw = text.encode("ascii", "ignore").lower()
-    raw = _DISGUISED.sub(lambda m: m[0].translate(SUBSTITUTES), raw)
-    return raw.translate(_LETTERS).split()
+    others: list[bytes] = []
+
+    def undo(run: re.Match) -> bytes:
+        first, *more = _readings(run[0])
+        others.extend(more)
+        return first
+
+    raw = _DISGUISED.sub(undo, raw)
+    return raw.translate(_LETTERS).split(), b" ".join(others).translate(_LETTERS).split()
+
+
+def fold(text: str) -> list[bytes]:
+    return read(text)[0]
 
 
 def terms_of(words: list[bytes]) -> set[bytes]:
@@ -108,8 +132,9 @@ class Lexicon:
         return kept
 
     def evidence(self, text: str) -> tuple[float, int]:
-        words = fold(text)
-        return sum(weight for _, _, weight in self.hits(words)), len(words)
+        """The sum of the weights, over all readings of disguised words, and the number of words."""
+        words, others = read(text)
+        return sum(weight for _, _, weight in self.hits(words + others)), len(words)
 
     def score(self, text: str) -> float:
         total, words = self.evidence(text)
@@ -133,7 +158,8 @@ def _count_terms(wanted: frozenset[bytes] | None):
         counts: Counter[bytes] = Counter()
         for batch in batches:
             for text, share in zip(batch["text"], batch["share"], strict=True):
-                terms = terms_of(fold(text))
+                words, others = read(text)
+                terms = terms_of(words + others)
                 for term in terms if wanted is None else terms & wanted:
                     counts[term] += share
                 if len(counts) >= FLUSH:
