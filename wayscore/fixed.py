@@ -48,6 +48,9 @@ STOPS_TEXT = "Driver %s is traveling at %.1f km/h with %d stops."
 CONGESTION_TEXT = "Driver %s is driving at %.1f km/h with %d congestion events."
 REQUEST_TEXT = "Driver %s is driving at %s km/h and got stuck %s times."
 SPEED_TEXT = "%.2f km/h"
+MARKER_SPEED = "%.1f km/h"
+MARKER_STOPS = "%d times"
+ADVICE_PENDING = "Analysis pending..."
 
 # -- fixed values: sentiment, risk levels and advice -------------------------
 NEGATIVE = "NEGATIVE"

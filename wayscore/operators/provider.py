@@ -84,3 +84,38 @@ def add_prompt(
     """Fill the one-row ``context`` and each question into the prompt."""
     text = F.col(question) if isinstance(question, str) else question
     return questions.withColumn("prompt", F.format_string(PROMPT, context.scalar(), text))
+
+
+def cities_named(questions: DataFrame, cities: DataFrame, question: str = "question") -> DataFrame:
+    """The rows of ``questions`` with each ``city`` of ``cities`` whose name stands in the text, in any case.
+
+    All pieces of a text that are as long as some name are looked up with an equi-join, so neither
+    side needs to be small. A text that names no city keeps one row without one.
+    """
+    names = store(cities.select("city", F.lower("city").alias("_name")).where("length(city) > 0").distinct(), "city-names")
+    # One number per length of a name, whatever the number of names.
+    lengths = [r[0] for r in names.select(F.char_length("_name")).distinct().collect()]
+    text = F.lower(F.col(question))
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.char_length(text) - n + 1)
+        return F.when(F.char_length(text) >= n, F.transform(starts, lambda at: F.substr(text, at, F.lit(n))))
+
+    every = F.array_compact(F.array(*(pieces(n) for n in lengths))) if lengths else F.lit(None).cast("array<array<string>>")
+    marked = store(questions.withColumn("_row", F.monotonically_increasing_id()), "questions")
+    looked_up = marked.select("_row", F.explode(F.array_distinct(F.flatten(every))).alias("_name"))
+    found = looked_up.join(names, "_name").select("_row", "city")
+    return marked.join(found, "_row", "left").select(*questions.columns, "city")
+
+
+def question_decisions(questions: DataFrame, summary: DataFrame, question: str = "question") -> DataFrame:
+    """Figures, verdict and decision for each city that a question names.
+
+    A question that names no known city has no figures and needs a review.
+    """
+    decided = city_decision(store(summary, "city-risk"))
+    answered = cities_named(questions, decided, question).join(decided, "city", "left")
+    return answered.select(
+        *questions.columns, "city", "avg_error_meters", "risk_rate", "verdict",
+        F.coalesce("decision", go_decision(F.lit(None).cast("string"))).alias("decision"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayscore import fixed
@@ -222,3 +222,36 @@ def coverage(
         )
         .withColumn("recall", F.col("sampled_points") / F.col("full_points"))
     )
+
+
+def survivorship(steps: DataFrame, most_points: int, key: str = "user_id") -> DataFrame:
+    """What a service that drops tracks of more than ``most_points`` points shows per city, against all data.
+
+    The dropped tracks leave no trace in its figures: ``seen_`` columns are over the others only. The
+    share of requests that seem to succeed is ``visible_rate``; a figure without any track is NULL.
+    """
+    tracks = steps.groupBy("city", key).agg(
+        F.count("*").alias("points"),
+        F.sum("is_stuck").alias("stalls"),
+        F.sum("step_distance_km").alias("km"),
+        F.count_if(at_origin()).alias("lost"),
+    )
+    seen = F.col("points") <= most_points
+
+    def share(part: str, whole: str, only: Column | None = None) -> Column:
+        total = lambda c: F.sum(c if only is None else F.when(only, F.col(c)))
+        return F.try_divide(total(part), total(whole))
+
+    return tracks.groupBy("city").agg(
+        F.count("*").alias("tracks"),
+        F.count_if(seen).alias("seen_tracks"),
+        (F.count_if(seen) / F.count("*")).alias("visible_rate"),
+        F.sum("points").alias("points"),
+        F.coalesce(F.sum(F.when(seen, F.col("points"))), F.lit(0)).alias("seen_points"),
+        share("stalls", "points").alias("stall_share"),
+        share("stalls", "points", seen).alias("seen_stall_share"),
+        share("km", "points").alias("mean_step_km"),
+        share("km", "points", seen).alias("seen_mean_step_km"),
+        share("lost", "points").alias("lost_share"),
+        share("lost", "points", seen).alias("seen_lost_share"),
+    )

@@ -117,3 +117,24 @@ def map_drivers(drivers: DataFrame, n: int | None = None) -> DataFrame:
 
 def speed_scatter(labelled_drivers: DataFrame) -> DataFrame:
     return labelled_drivers.select("average_speed", "stuck_count", "label")
+
+
+def map_markers(drivers: DataFrame, positions: DataFrame, insights: DataFrame) -> DataFrame:
+    """What a map shows of each driver: place, colour, and the lines of the note at the marker.
+
+    ``positions`` is (driver_id, latitude, longitude); a driver without one has no marker place.
+    Drivers without advice in ``insights`` wait for it.
+    """
+    advised = insights.select("driver_id", "management_advice")
+    place = positions.select("driver_id", "latitude", "longitude")
+    joined = add_colour(drivers).join(place, "driver_id", "left").join(advised, "driver_id", "left")
+    return joined.select(
+        "driver_id",
+        "latitude",
+        "longitude",
+        "label",
+        "colour",
+        F.when(F.col("average_speed").isNotNull(), F.format_string(fixed.MARKER_SPEED, "average_speed")).alias("speed"),
+        F.format_string(fixed.MARKER_STOPS, F.coalesce("stuck_count", F.lit(0)).cast("long")).alias("stops"),
+        F.coalesce("management_advice", F.lit(fixed.ADVICE_PENDING)).alias("advice"),
+    )

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayscore.functions.geo import distance_km
+from wayscore.functions.geo import at_origin, distance_km, located
 from wayscore.operators.ranking import store_ordered
 from wayscore.session import store
 
@@ -212,3 +212,13 @@ def trajectories(
             ).alias("path"),
         )
     )
+
+
+def last_positions(points: DataFrame, key: str = "user_id") -> DataFrame:
+    """The last known position of each track; points without one, and (0, 0), are not positions.
+
+    One row per track and task is shuffled, also of a track that holds most rows.
+    """
+    placed = points.where(located("latitude", "longitude") & ~at_origin())
+    last = F.max_by(F.struct("timestamp", "latitude", "longitude"), F.struct(*track_order(points)))
+    return placed.groupBy(key).agg(last.alias("last")).select(key, "last.*")

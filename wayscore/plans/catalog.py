@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayscore import fixed, schemas
 from wayscore.functions.geo import distance_km_asin
-from wayscore.operators import clusters, decision, provider, quality, risk, scoring, tracks
+from wayscore.operators import clusters, decision, lloyd, provider, quality, risk, scoring, tracks
 from wayscore.functions.decisions import matches, request_text, stops_text
 from wayscore.session import new_path
 from wayscore.sources import files, tables
@@ -192,6 +192,19 @@ def coverage_report(spark, sf_dir):
     return report.withColumn("recall", F.round("recall", 6))
 
 
+@query
+def survivorship_report(spark, sf_dir):
+    """Against a service that drops the longer half or so of the tracks."""
+    report = quality.survivorship(_steps(spark, sf_dir), most_points=70)
+    figures = [c for c in report.columns if c.endswith(("_share", "_km", "_rate"))]
+    return report.withColumns({c: F.round(c, 6) for c in figures})
+
+
+@query
+def last_positions(spark, sf_dir):
+    return tracks.last_positions(_points(spark, sf_dir))
+
+
 # -- sources and sinks ----------------------------------------------------------
 
 
@@ -278,6 +291,12 @@ def city_contexts(spark, sf_dir):
     return provider.city_contexts(provider.city_risk_summary(_errors(spark, sf_dir)))
 
 
+@query
+def question_decisions(spark, sf_dir):
+    summary = provider.city_risk_summary(_errors(spark, sf_dir))
+    return provider.question_decisions(tables.questions(tables.events(spark, sf_dir)), summary)
+
+
 # -- features and clusters ------------------------------------------------------
 
 
@@ -328,6 +347,48 @@ def driver_labels(spark, sf_dir):
     return clusters.label_clusters(driver_clusters(spark, sf_dir))
 
 
+def _resting_drivers(spark, sf_dir):
+    """Drivers of the points with the clusters of fixed starting centres, labelled."""
+    features = decision.driver_features(_steps(spark, sf_dir))
+    return clusters.label_clusters(lloyd.lloyd(features).rows)
+
+
+@query
+def resting_clusters(spark, sf_dir):
+    rows = lloyd.lloyd(_drivers(spark, sf_dir)).rows
+    return clusters.label_clusters(rows.drop("label")).select("driver_id", "cluster", "label")
+
+
+@query
+def resting_clusters_unscaled(spark, sf_dir):
+    return lloyd.lloyd(_drivers(spark, sf_dir), scale=False).rows.select("driver_id", "cluster")
+
+
+@query
+def resting_step_clusters(spark, sf_dir):
+    steps = _steps(spark, sf_dir).select("event_id", *fixed.STEP_FEATURES)
+    return lloyd.lloyd(steps, fixed.STEP_FEATURES).rows.select("event_id", "cluster")
+
+
+@query
+def resting_driver_labels(spark, sf_dir):
+    return _resting_drivers(spark, sf_dir).select("driver_id", "cluster", "label")
+
+
+@query
+def cluster_report(spark, sf_dir):
+    report = lloyd.cluster_report(_drivers(spark, sf_dir))
+    figures = [c for c in report.columns if c not in ("cluster", "n")]
+    return report.withColumns({c: F.round(c, 4) for c in figures})
+
+
+@query
+def map_markers(spark, sf_dir):
+    drivers = _resting_drivers(spark, sf_dir)
+    places = tracks.last_positions(_points(spark, sf_dir)).withColumnRenamed("user_id", "driver_id")
+    return risk.map_markers(drivers, places, risk.risk_insights(drivers))
+
+
 @query
 def speed_scatter(spark, sf_dir):
     return risk.speed_scatter(_drivers(spark, sf_dir))

@@ -158,6 +158,70 @@ COLOUR = (
     + f" ELSE '{fixed.UNKNOWN_COLOUR}' END"
 )
 
+
+
+def _lloyd(table: str, key: str, columns: list[str], scale: bool = True) -> str:
+    """``placed(key, cluster)``: three centres from one deviation below the mean to one above, until they rest."""
+    n = range(1, len(columns) + 1)
+    value = "CASE WHEN s{0} > 0 THEN ({1} - m{0}) / s{0} ELSE 0.0e0 END" if scale else "CAST({1} AS DOUBLE)"
+    start = "{1}.0e0" if scale else "m{0} + {1} * s{0}"
+    far = [" + ".join(f"(v[{j}] - centres[{i}][{j}]) * (v[{j}] - centres[{i}][{j}])" for j in n) for i in (1, 2, 3)]
+    near = f"CASE WHEN {far[0]} <= {far[1]} AND {far[0]} <= {far[2]} THEN 1 WHEN {far[1]} <= {far[2]} THEN 2 ELSE 3 END"
+    gap = "greatest(" + ", ".join(f"abs(mean[{j}] - old[{j}])" for j in n) + ")"
+    return f"""
+moments AS (SELECT {", ".join(f"avg({c}) AS m{j}, stddev_pop({c}) AS s{j}" for j, c in zip(n, columns))} FROM {table}),
+z AS (SELECT {key}, [{", ".join(value.format(j, c) for j, c in zip(n, columns))}] AS v FROM {table}, moments),
+fit(round, centres, moved) AS (
+  SELECT 0, [{", ".join("[" + ", ".join(start.format(j, i) for j in n) + "]" for i in (-1, 0, 1))}], 1.0e0 FROM moments
+  UNION ALL
+  SELECT round + 1, list(mean ORDER BY i), max({gap})
+  FROM (
+    SELECT round, k.i, centres[k.i] AS old,
+      CASE WHEN count(v) > 0 THEN [{", ".join(f"avg(v[{j}])" for j in n)}] ELSE centres[k.i] END AS mean
+    FROM (SELECT * FROM fit WHERE moved > 1e-9 AND round < 100) f CROSS JOIN range(1, 4) k(i)
+    LEFT JOIN z ON {near} = k.i
+    GROUP BY round, centres, k.i
+  ) GROUP BY round
+),
+placed AS (
+  SELECT {key}, CAST({near} - 1 AS INTEGER) AS cluster
+  FROM z, (SELECT centres FROM fit ORDER BY round DESC LIMIT 1) f
+)"""
+
+
+def _labelled(table: str) -> str:
+    """``labelled``: ``table`` with its ``placed`` clusters and their labels."""
+    return f"""
+joined AS (SELECT t.* EXCLUDE (cluster), p.cluster FROM (SELECT *, 0 AS cluster FROM {table}) t JOIN placed p USING (driver_id)),
+means AS (SELECT cluster, avg(average_speed) AS mean FROM joined GROUP BY cluster),
+labelled AS (
+  SELECT *, CASE
+    WHEN cluster = (SELECT cluster FROM means ORDER BY mean DESC, cluster LIMIT 1) THEN 'Good: Efficient'
+    WHEN cluster = (SELECT cluster FROM means ORDER BY mean, cluster LIMIT 1) THEN 'Risk: Congested'
+    ELSE 'Normal: Average' END AS label
+  FROM joined
+)"""
+
+
+FEATURES = (
+    STEPS
+    + """,
+features AS (
+  SELECT user_id AS driver_id, km AS total_km, CASE WHEN hours > 0 THEN km / hours ELSE 0 END AS average_speed, stuck_count
+  FROM (SELECT user_id, sum(step_distance_km) AS km, CAST(sum(is_stuck) AS BIGINT) AS stuck_count,
+          (max("timestamp") - min("timestamp")) / 3600.0e0 AS hours
+        FROM steps GROUP BY user_id) g
+)"""
+)
+PLAIN_DRIVERS = DRIVERS + ",\nplain AS (SELECT * EXCLUDE (label) FROM drivers)"
+RESTING = f"{FEATURES},{_lloyd('features', 'driver_id', fixed.DRIVER_FEATURES)},{_labelled('features')}"
+LAST = """
+last AS (
+  SELECT user_id, "timestamp", latitude, longitude
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp" DESC, event_id DESC) AS n
+        FROM gps WHERE NOT (latitude = 0 AND longitude = 0)) g WHERE n = 1
+)"""
+
 POINT_COLUMNS = 'event_id, user_id, "timestamp", latitude, longitude, city'
 STEP_QUERY = f"""WITH {STEPS}
 SELECT event_id, user_id, city, round(step_distance_km, 6) AS step_distance_km, is_stuck FROM steps"""
@@ -357,4 +421,55 @@ SELECT requests.request_id, requests.driver_id,
 FROM requests LEFT JOIN (
   SELECT * FROM results WHERE requested_at < (SELECT max(requested_at) - 86400 FROM requests)
 ) r ON requests.request_id = r.request_id""",
+    "survivorship_report": f"""WITH {STEPS},
+by_track AS (
+  SELECT city, user_id, count(*) AS points, sum(is_stuck) AS stalls, sum(step_distance_km) AS km,
+    count(*) FILTER (latitude = 0 AND longitude = 0) AS lost, count(*) <= 70 AS seen
+  FROM steps GROUP BY city, user_id
+)
+SELECT city, count(*) AS tracks, count(*) FILTER (seen) AS seen_tracks,
+  round(count(*) FILTER (seen) / count(*), 6) AS visible_rate, CAST(sum(points) AS BIGINT) AS points,
+  CAST(coalesce(sum(points) FILTER (seen), 0) AS BIGINT) AS seen_points,
+  round(sum(stalls) / sum(points), 6) AS stall_share,
+  round(sum(stalls) FILTER (seen) / sum(points) FILTER (seen), 6) AS seen_stall_share,
+  round(sum(km) / sum(points), 6) AS mean_step_km,
+  round(sum(km) FILTER (seen) / sum(points) FILTER (seen), 6) AS seen_mean_step_km,
+  round(sum(lost) / sum(points), 6) AS lost_share,
+  round(sum(lost) FILTER (seen) / sum(points) FILTER (seen), 6) AS seen_lost_share
+FROM by_track GROUP BY city""",
+    "last_positions": f"WITH {GPS},{LAST} SELECT * FROM last",
+    "question_decisions": f"""WITH {PROVIDERS},
+questions AS (
+  SELECT question_id, CASE question_id % 4
+    WHEN 0 THEN 'Can we switch in taipei for user_' || question_id || '?'
+    WHEN 1 THEN 'Hsinchu or KAOHSIUNG: which one first?'
+    WHEN 2 THEN '請問Taipei適合切換嗎 ' || question_id
+    ELSE 'Is it safe to switch?' END AS question
+  FROM (SELECT DISTINCT user_id AS question_id FROM events) e
+)
+SELECT question_id, question, city, avg_error_meters, risk_rate, verdict,
+  CASE verdict WHEN 'SAFE' THEN 'Go' WHEN 'RISKY' THEN 'No-Go' ELSE 'Review' END AS decision
+FROM questions LEFT JOIN summary ON contains(lower(question), lower(city))""",
+    "resting_clusters": f"""WITH RECURSIVE {PLAIN_DRIVERS},{_lloyd("plain", "driver_id", fixed.DRIVER_FEATURES)},{_labelled("plain")}
+SELECT driver_id, cluster, label FROM labelled""",
+    "resting_clusters_unscaled": f"""WITH RECURSIVE {DRIVERS},{_lloyd("drivers", "driver_id", fixed.DRIVER_FEATURES, False)}
+SELECT driver_id, cluster FROM placed""",
+    "resting_step_clusters": f"""WITH RECURSIVE {STEPS},{_lloyd("steps", "event_id", fixed.STEP_FEATURES)}
+SELECT event_id, cluster FROM placed""",
+    "resting_driver_labels": f"WITH RECURSIVE {RESTING} SELECT driver_id, cluster, label FROM labelled",
+    "cluster_report": f"""WITH RECURSIVE {DRIVERS},{_lloyd("drivers", "driver_id", fixed.DRIVER_FEATURES)}
+SELECT cluster, count(*) AS n, round(avg(total_km), 4) AS mean_total_km, round(avg(average_speed), 4) AS mean_average_speed,
+  round(avg(stuck_count), 4) AS mean_stuck_count,
+  round((var_pop(total_km) + var_pop(average_speed) + var_pop(stuck_count)) * count(*), 4) AS squares
+FROM drivers JOIN placed USING (driver_id) GROUP BY cluster""",
+    "map_markers": f"""WITH RECURSIVE {RESTING},{LAST},{_with_scores("labelled", "average_speed")},
+at_risk AS (SELECT * FROM scored WHERE label LIKE 'Risk%' ORDER BY average_speed, driver_id LIMIT 5),
+slowest AS (SELECT * FROM scored ORDER BY average_speed, driver_id LIMIT 3),
+advised AS (
+  SELECT driver_id, {ADVICE} AS advice
+  FROM (SELECT * FROM at_risk UNION ALL SELECT * FROM slowest WHERE NOT EXISTS (SELECT 1 FROM at_risk)) r
+)
+SELECT driver_id, latitude, longitude, label, {COLOUR} AS colour, printf('%.1f km/h', average_speed) AS speed,
+  printf('%d times', stuck_count) AS stops, coalesce(advice, 'Analysis pending...') AS advice
+FROM labelled LEFT JOIN last ON last.user_id = driver_id LEFT JOIN advised USING (driver_id)""",
 }

@@ -115,3 +115,15 @@ def driver_requests(events: DataFrame) -> DataFrame:
         (F.col("event_id") * 7 % 26).cast("int").alias("stuck_count"),
         epoch_seconds().alias("requested_at"),
     )
+
+
+def questions(events: DataFrame) -> DataFrame:
+    """A question per user about the cities of the provider comparison; some name two, some none."""
+    number = F.col("question_id")
+    text = (
+        F.when(number % 4 == 0, F.concat(F.lit("Can we switch in taipei for user_"), number.cast("string"), F.lit("?")))
+        .when(number % 4 == 1, F.lit("Hsinchu or KAOHSIUNG: which one first?"))
+        .when(number % 4 == 2, F.concat(F.lit("請問Taipei適合切換嗎 "), number.cast("string")))
+        .otherwise(F.lit("Is it safe to switch?"))
+    )
+    return events.select(F.col("user_id").alias("question_id")).distinct().withColumn("question", text)
