@@ -30,6 +30,14 @@ def test_one_may_be_an_l():
     assert toxicity.read("10 2024 3.5 -- !!") == ([], [])
 
 
+def test_long_runs_are_read_but_not_kept():
+    toxicity._kept_readings.cache_clear()
+    run = "a1" * 500_000
+    words, others = toxicity.read(f"{run} 1diot")
+    assert words == [b"ai" * 499_999 + b"a", b"idiot"] and b"al" * 500_000 in others
+    assert toxicity._kept_readings.cache_info().currsize == 1
+
+
 def test_exception_phrases_excuse_hits():
     lexicon = toxicity.Lexicon({b" trash ": 3.0, b" lowei": 2.0}, (b"trash can",))
     assert lexicon.evidence("the trash can")[0] == 0

@@ -43,7 +43,9 @@ PREFIXES = range(4, 8)
 FLUSH = 100_000  # terms a worker counts before it passes them on
 
 
-@lru_cache(maxsize=10_000)
+CACHED_RUN = 40  # characters; longer runs, such as encoded data, are not kept
+
+
 def _readings(run: bytes) -> list[bytes]:
     """What a run may say, the likeliest first: signs around a word may be part of it or not, and 1 may be
     i or l."""
@@ -52,6 +54,9 @@ def _readings(run: bytes) -> list[bytes]:
     return list(dict.fromkeys(f.translate(t) for t in (SUBSTITUTES, SUBSTITUTES_L) for f in forms))
 
 
+_kept_readings = lru_cache(maxsize=10_000)(_readings)
+
+
 def read(text: str) -> tuple[list[bytes], list[bytes]]:
     """The words of a text in plain lower-case letters, disguises undone, and the disguised words' other readings."""
     if not text.isascii():
@@ -60,7 +65,7 @@ def read(text: str) -> tuple[list[bytes], list[bytes]]:
     others: list[bytes] = []
 
     def undo(run: re.Match) -> bytes:
-        first, *more = _readings(run[0])
+        first, *more = (_kept_readings if len(run[0]) <= CACHED_RUN else _readings)(run[0])
         others.extend(more)
         return first
 
