@@ -443,7 +443,7 @@ questions AS (
   SELECT question_id, CASE question_id % 4
     WHEN 0 THEN 'Can we switch in taipei for user_' || question_id || '?'
     WHEN 1 THEN 'Hsinchu or KAOHSIUNG: which one first?'
-    WHEN 2 THEN '請問Taipei適合切換嗎 ' || question_id
+    WHEN 2 THEN '我們在Taipei該換誰家 ' || question_id
     ELSE 'Is it safe to switch?' END AS question
   FROM (SELECT DISTINCT user_id AS question_id FROM events) e
 )

@@ -123,7 +123,7 @@ def questions(events: DataFrame) -> DataFrame:
     text = (
         F.when(number % 4 == 0, F.concat(F.lit("Can we switch in taipei for user_"), number.cast("string"), F.lit("?")))
         .when(number % 4 == 1, F.lit("Hsinchu or KAOHSIUNG: which one first?"))
-        .when(number % 4 == 2, F.concat(F.lit("請問Taipei適合切換嗎 "), number.cast("string")))
+        .when(number % 4 == 2, F.concat(F.lit("我們在Taipei該換誰家 "), number.cast("string")))
         .otherwise(F.lit("Is it safe to switch?"))
     )
     return events.select(F.col("user_id").alias("question_id")).distinct().withColumn("question", text)
