@@ -70,8 +70,9 @@ def test_copies_against_all_pairs(spark, docs, limits):
 def test_prefixes_grow_only_where_texts_share_them(spark):
     rows = [(b"same" * 400 + bytes([65 + i]),) for i in range(20)] + [(bytes([66 + i]) * 50,) for i in range(20)]
     df = store(spark.createDataFrame(rows, "text binary"), "texts")
-    key = text_tries.adaptive_prefix(df, "text", 5_000)
-    lengths = {bytes(r.text): len(r.key) for r in df.select("text", key.alias("key")).collect()}
+    found = text_tries.adaptive_prefix(df, "text", 5_000)
+    lengths = {bytes(r.text): min(r.taken, len(r.text)) for r in found.collect()}
+    assert len(lengths) == found.count() == len(rows)
     assert all(n == (4 if t[:4] != b"same" else 1601) for t, n in lengths.items())
 
 

@@ -169,30 +169,26 @@ def _last_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.ready(last=True)
 
 
-def adaptive_prefix(rows: DataFrame, text: str, limit: float) -> Column:
-    """The start of ``text`` that sorts it into a range: ``FIRST_LENGTH`` bytes, and longer where rows that
-    share it have more than ``limit`` bytes of texts.
+def adaptive_prefix(rows: DataFrame, text: str, limit: float) -> DataFrame:
+    """``rows`` with ``taken``, the length of the start of ``text`` that sorts it into a range: ``FIRST_LENGTH``
+    bytes, and more where rows that share them have more than ``limit`` bytes of texts.
 
-    It is a function of the text alone. Only hashes of the prefixes above the limit come to the driver:
-    per length at most all bytes / limit of them. Prefixes with equal hashes would only both be longer.
+    It is a function of the text alone. Hashes of the prefixes above the limit, per length at most all
+    bytes / limit of them, are stored and joined, by the optimizer's choice. Prefixes with equal hashes
+    would only both be longer.
     """
     length, size = FIRST_LENGTH, F.octet_length(text)
-    left = rows.select(text)
-    cases: list[tuple[Column, Column]] = []
+    out = rows.withColumn("taken", F.lit(length))
     while True:
-        prefix = F.substring(text, 1, length)
-        name = F.xxhash64(prefix)
-        sums = left.where(size > length).groupBy(name.alias("name")).agg(F.sum(size).alias("bytes"))
-        heavy = [r["name"] for r in sums.where(F.col("bytes") > limit).select("name").collect()]
-        cases.append((name.isin(heavy), prefix))
-        if not heavy:
-            break
-        left = left.where((size > length) & name.isin(heavy))
+        open_ = (F.col("taken") == length) & (size > length)
+        name = F.xxhash64(F.substring(text, 1, length))
+        sums = out.where(open_).groupBy(name.alias("prefix")).agg(F.sum(size).alias("bytes"))
+        heavy = store(sums.where(F.col("bytes") > limit).select("prefix"), "heavy-prefixes")
+        if heavy.isEmpty():
+            return out
+        longer = F.when(open_ & F.col("prefix").isNotNull(), length * GROWTH).otherwise(F.col("taken"))
+        out = out.join(heavy, name == heavy["prefix"], "left").select(*rows.columns, longer.alias("taken"))
         length *= GROWTH
-    key = cases[-1][1]
-    for longer, prefix in reversed(cases[:-1]):
-        key = F.when(longer, key).otherwise(prefix)
-    return key
 
 
 def mark_copies(
@@ -215,6 +211,6 @@ def mark_copies(
     open_rows = first.where("text IS NOT NULL").drop("copy")
     total = open_rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / range_bytes))
-    key = adaptive_prefix(open_rows, "text", max(1.0, total / (SPLIT * parts)))
-    dealt = open_rows.repartitionByRange(parts, key)
+    measured = adaptive_prefix(open_rows, "text", max(1.0, total / (SPLIT * parts)))
+    dealt = measured.repartitionByRange(parts, F.substring("text", F.lit(1), F.col("taken"))).drop("taken")
     return known.unionByName(dealt.mapInArrow(_last_rows, _ROW.removeprefix("text binary, ")))
