@@ -209,6 +209,23 @@ def test_language_against_one_automaton(spark, chunk, bucket):
         assert abs(mass - 1) < 1e-9
 
 
+@pytest.mark.parametrize("most", [7, 60])
+def test_language_adds_up_chunks_in_levels(spark, most):
+    """Many chunks, all with the same common words, are answered as by one task per bucket."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "the same start " + " ".join(rng.choice([f"w{i}" for i in range(20)], 6))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    learned = F.col("doc_id") % 3 == 0
+    chunks = language.chunks_of(language._rows(df, ~learned, learned), True, 1)
+    only_learned = language.train(df.where(learned), chunk_tokens=1).chunks
+    assert chunks.count() == 100
+    whole, parted = (
+        {r.doc_id: r for r in language.read_chunks(chunks.unionByName(only_learned), bucket_tokens=100, most=n).collect()}
+        for n in (1_000, most)
+    )
+    assert whole == parted and len(whole) == 100
+
+
 def test_language_learns_and_scores_in_one_go(spark, docs):
     """The same rows as training and scoring apart, in any split into chunks."""
     held = common.held_out(F.col("doc_id"), 10, 0)

@@ -13,7 +13,8 @@ are the words' own probabilities.
 Texts are numbered into chunks of bounded size. A chunk sends the n-grams that it holds, as sorted
 hashes with their counts, to buckets by hash; a bucket adds them up and answers each chunk with the
 sums. So a chunk is given the part of the automaton that its texts can reach, and reads them with it.
-What moves is a few bytes per token, and no task holds more than a chunk or a bucket.
+What moves is a few bytes per token, and no task holds more than a chunk or a bucket of some chunks:
+where there are many, what they ask is added up in levels.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ PRIORS = (200.0, 5.0)  # of pairs and of triples, in occurrences of the history
 SIZES = (1, 2, 3)
 CHUNK_TOKENS = 2_000_000
 BUCKET_TOKENS = 1_000_000  # tokens of all chunks for each bucket
+BUCKET_CHUNKS = 4_000  # chunks that a task adds up at once, on average
 SPARE_BITS = 20  # one n-gram in 2^20 may share its hash with another; words have 64 bits
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -223,20 +225,67 @@ _ANSWER_SCHEMA = pa.schema([
 ])
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """Sums of one bucket, for each chunk in the order of its keys; and a row with no chunk about them all."""
-    rows = asked.to_pylist()
+def _together(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of some rows of a bucket, their summed counts, and where among them each row's keys are."""
     keys = [_keys_in(r["keys"]) for r in rows]
     found, number = distinct(np.concatenate(keys))
     counts = np.concatenate([unpack(r["counts"]) for r in rows])
-    sums = np.bincount(number, counts).astype(np.int64)  # whole numbers below 2^53
-    size, bucket = rows[0]["size"], rows[0]["bucket"]
-    out = [(None, size, bucket, None, int((sums > 0).sum()), int(sums.sum()))]
-    ends = np.cumsum([len(k) for k in keys])
-    for row, part in zip(rows, np.split(sums[number], ends[:-1]), strict=True):
-        if row["score"]:
-            out.append((row["chunk"], size, bucket, pack(part.astype(np.uint64)), None, None))
-    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _ANSWER_SCHEMA, strict=True)], schema=_ANSWER_SCHEMA)
+    sums = np.bincount(number, counts).astype(np.uint64)  # whole numbers below 2^53
+    return found, sums, np.split(number, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _told(rows: list[dict], sums: np.ndarray, numbers: list[np.ndarray]) -> list[tuple]:
+    """For each row that is to be answered its sums, in the order of its keys."""
+    return [
+        (row["chunk"], row["size"], row["bucket"], pack(sums[number]), None, None)
+        for row, number in zip(rows, numbers, strict=True)
+        if row["score"]
+    ]
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Sums of one bucket, for each chunk in the order of its keys; and a row with no chunk about them all."""
+    rows = asked.to_pylist()
+    _, sums, numbers = _together(rows)
+    about = (None, rows[0]["size"], rows[0]["bucket"], None, int((sums > 0).sum()), int(sums.sum()))
+    return _table([about, *_told(rows, sums, numbers)], _ANSWER_SCHEMA)
+
+
+def _add_up(asked: pa.Table) -> pa.Table:
+    """What some chunks ask of a bucket as one row, in which their number stands for the chunk."""
+    rows = asked.to_pylist()
+    found, sums, _ = _together(rows)
+    first = rows[0]
+    row = (first["size"], first["bucket"], first["part"], any(r["score"] for r in rows), _keys_out(found), pack(sums))
+    return _table([row], _ASKED_SCHEMA)
+
+
+def _hand_down(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answer to the row of ``_add_up`` dealt out to the chunks."""
+    out = []
+    for counts in answers.column("counts").to_pylist():  # one, or none if no chunk is to be answered
+        rows = asked.to_pylist()
+        out = _told(rows, unpack(counts), _together(rows)[2])
+    return _table(out, _ANSWER_SCHEMA)
+
+
+def answers_of(asked: DataFrame, chunks: int, most: int) -> DataFrame:
+    """``_answer`` for every bucket, stored. A common n-gram is asked by every chunk, so above ``most`` chunks
+    about so many at a time are added up first, level by level, and their answers are handed down again."""
+    if chunks <= most:
+        return _packed(asked.groupBy("size", "bucket").applyInArrow(_answer, _ANSWER), "n-gram-counts")
+    parts = math.ceil(chunks / most)
+    parted = _packed(asked, "n-grams-asked").withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts).cast("long")))
+    groups = parted.groupBy("size", "bucket", "part")
+    above = answers_of(groups.applyInArrow(_add_up, _ASKED), parts, most)
+    told = above.where("chunk IS NOT NULL").groupBy("size", "bucket", "chunk")
+    below = groups.cogroup(told).applyInArrow(_hand_down, _ANSWER)
+    return _packed(below.unionByName(above.where("chunk IS NULL")), "n-gram-counts")
 
 
 def smoothed(count: np.ndarray, history: np.ndarray, lower: np.ndarray, prior: float) -> np.ndarray:
@@ -298,13 +347,16 @@ def chunks_of(rows: DataFrame, score: bool, chunk_tokens: int = CHUNK_TOKENS) ->
     return _packed(chosen.mapInArrow(_number(score, chunk_tokens), _CHUNK), "text-chunks")
 
 
-def read_chunks(chunks: DataFrame, priors: tuple[float, float] = PRIORS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def read_chunks(
+    chunks: DataFrame, priors: tuple[float, float] = PRIORS, bucket_tokens: int = BUCKET_TOKENS, most: int = BUCKET_CHUNKS
+) -> DataFrame:
     """Learn from the texts to be learned from, score those to be scored."""
-    placed = chunks.agg(F.sum("tokens")).first()[0] or 0
+    about = chunks.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("chunks")).first()
+    placed = about["tokens"] or 0
     bits = min(64, SPARE_BITS + max(1, placed).bit_length())
     bucket_bits = min(bits, max(0, math.ceil(math.log2(max(1, placed) / bucket_tokens))))
     asked = chunks.mapInArrow(_ask(bits, bucket_bits), _ASKED)
-    answers = _packed(asked.groupBy("size", "bucket").applyInArrow(_answer, _ANSWER), "n-gram-counts")
+    answers = answers_of(asked, about["chunks"], most)
     known = answers.where("chunk IS NULL AND size = 1").agg(F.sum("different").alias("different"), F.sum("total").alias("total")).first()
     total, different = known["total"] or 0, known["different"] or 0
     read = _read(total, different, bits, priors)
