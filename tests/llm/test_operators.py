@@ -226,6 +226,13 @@ def test_language_adds_up_chunks_in_levels(spark, most):
     assert whole == parted and len(whole) == 100
 
 
+def test_levels_of_chunks():
+    assert language.levels(0, 0, 21, 1_000_000, 4_000) == [(1, 0)]
+    assert language.levels(300, 600_000_000, 50, 1_000_000, 4_000) == [(1, 10)]
+    assert language.levels(10_000_000, 20_000_000_000_000, 64, 1_000_000, 4_000) == [(2500, 13), (1, 25)]
+    assert language.levels(133, 1_330, 31, 100, 7) == [(19, 0), (3, 3), (1, 4)]
+
+
 def test_language_learns_and_scores_in_one_go(spark, docs):
     """The same rows as training and scoring apart, in any split into chunks."""
     held = common.held_out(F.col("doc_id"), 10, 0)

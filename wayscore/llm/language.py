@@ -41,7 +41,7 @@ PRIORS = (200.0, 5.0)  # of pairs and of triples, in occurrences of the history
 SIZES = (1, 2, 3)
 CHUNK_TOKENS = 2_000_000
 BUCKET_TOKENS = 1_000_000  # tokens of all chunks for each bucket
-BUCKET_CHUNKS = 4_000  # chunks that a task adds up at once, on average
+BUCKET_CHUNKS = 4_000  # chunks that a task adds up at once, about
 SPARE_BITS = 20  # one n-gram in 2^20 may share its hash with another; words have 64 bits
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -195,6 +195,13 @@ _ASKED_SCHEMA = pa.schema([
 ])
 
 
+def _cut(keys: np.ndarray, counts: np.ndarray, wide: int, bucket_bits: int) -> list[tuple[int, bytes, bytes]]:
+    """Sorted keys of ``wide`` bits by bucket, which is their first bits: (bucket, keys, counts)."""
+    bucket = (keys >> np.uint64(wide - bucket_bits) if bucket_bits else keys * np.uint64(0)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 62))
+    return [(int(bucket[a]), _keys_out(keys[a:b]), pack(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _ask(bits: int, bucket_bits: int):
     @frugal
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +211,8 @@ def _ask(bits: int, bucket_bits: int):
                 for size, (keys, places) in zip(SIZES, chunk.keys(bits), strict=True):
                     found, number = distinct(keys)
                     counts = np.bincount(number, chunk.learn[places], minlength=len(found)).astype(np.uint64)
-                    wide = 64 if size == 1 else bits
-                    bucket = (found >> np.uint64(wide - bucket_bits) if bucket_bits else found * np.uint64(0)).astype(np.int64)
-                    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 62))
-                    rows = [
-                        (size, int(bucket[a]), row["chunk"], row["score"], _keys_out(found[a:b]), pack(counts[a:b]))
-                        for a, b in zip(cuts[:-1], cuts[1:], strict=True)
-                    ]
+                    parts = _cut(found, counts, 64 if size == 1 else bits, bucket_bits)
+                    rows = [(size, bucket, row["chunk"], row["score"], *rest) for bucket, *rest in parts]
                     if rows:
                         columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ASKED_SCHEMA, strict=True)]
                         yield pa.RecordBatch.from_arrays(columns, schema=_ASKED_SCHEMA)
@@ -256,34 +258,53 @@ def _answer(asked: pa.Table) -> pa.Table:
     return _table([about, *_told(rows, sums, numbers)], _ANSWER_SCHEMA)
 
 
-def _add_up(asked: pa.Table) -> pa.Table:
-    """What some chunks ask of a bucket as one row, in which their number stands for the chunk."""
-    rows = asked.to_pylist()
-    found, sums, _ = _together(rows)
-    first = rows[0]
-    row = (first["size"], first["bucket"], first["part"], any(r["score"] for r in rows), _keys_out(found), pack(sums))
-    return _table([row], _ASKED_SCHEMA)
+def _add_up(bits: int, bucket_bits: int):
+    """What some chunks ask of a bucket as one chunk would, named by their number, in buckets of the level above."""
+
+    def add_up(asked: pa.Table) -> pa.Table:
+        rows = asked.to_pylist()
+        found, sums, _ = _together(rows)
+        size, part, score = rows[0]["size"], rows[0]["part"], any(r["score"] for r in rows)
+        parts = _cut(found, sums, 64 if size == 1 else bits, bucket_bits)
+        return _table([(size, bucket, part, score, *rest) for bucket, *rest in parts], _ASKED_SCHEMA)
+
+    return add_up
 
 
 def _hand_down(asked: pa.Table, answers: pa.Table) -> pa.Table:
-    """The answer to the row of ``_add_up`` dealt out to the chunks."""
-    out = []
-    for counts in answers.column("counts").to_pylist():  # one, or none if no chunk is to be answered
-        rows = asked.to_pylist()
-        out = _told(rows, unpack(counts), _together(rows)[2])
-    return _table(out, _ANSWER_SCHEMA)
+    """The answers to what ``_add_up`` asked, dealt out to its chunks; none if no chunk is to be answered."""
+    told = sorted(answers.select(["above", "counts"]).to_pylist(), key=lambda a: a["above"])
+    rows = asked.to_pylist()
+    if not told:
+        return _table([], _ANSWER_SCHEMA)
+    return _table(_told(rows, np.concatenate([unpack(a["counts"]) for a in told]), _together(rows)[2]), _ANSWER_SCHEMA)
 
 
-def answers_of(asked: DataFrame, chunks: int, most: int) -> DataFrame:
-    """``_answer`` for every bucket, stored. A common n-gram is asked by every chunk, so above ``most`` chunks
-    about so many at a time are added up first, level by level, and their answers are handed down again."""
-    if chunks <= most:
+def levels(chunks: int, tokens: int, bits: int, bucket_tokens: int, most: int) -> list[tuple[int, int]]:
+    """From the chunks up: into how many parts they are added up, and bits of a bucket's number. The last is (1, bits).
+
+    A bucket of a part holds about ``bucket_tokens``, so a chunk's share of a bucket stays large at any size.
+    """
+    out = []
+    while not out or out[-1][0] > 1:
+        left = out[-1][0] if out else chunks
+        parts = 1 if left <= most else math.ceil(left / most)
+        out.append((parts, min(bits, max(0, math.ceil(math.log2(max(1, tokens) / parts / bucket_tokens))))))
+    return out
+
+
+def answers_of(asked: DataFrame, plan: list[tuple[int, int]], bits: int) -> DataFrame:
+    """``_answer`` for every bucket, stored. A common n-gram is asked by every chunk, so many chunks are added
+    up in parts first, level by level, and the answers are handed down again."""
+    (parts, bucket_bits), *higher = plan
+    if not higher:
         return _packed(asked.groupBy("size", "bucket").applyInArrow(_answer, _ANSWER), "n-gram-counts")
-    parts = math.ceil(chunks / most)
     parted = _packed(asked, "n-grams-asked").withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts).cast("long")))
     groups = parted.groupBy("size", "bucket", "part")
-    above = answers_of(groups.applyInArrow(_add_up, _ASKED), parts, most)
-    told = above.where("chunk IS NOT NULL").groupBy("size", "bucket", "chunk")
+    finer = higher[0][1]
+    above = answers_of(groups.applyInArrow(_add_up(bits, finer), _ASKED), higher, bits)
+    told = above.where("chunk IS NOT NULL").withColumnRenamed("bucket", "above")
+    told = told.withColumn("bucket", F.shiftright("above", finer - bucket_bits)).groupBy("size", "bucket", "chunk")
     below = groups.cogroup(told).applyInArrow(_hand_down, _ANSWER)
     return _packed(below.unionByName(above.where("chunk IS NULL")), "n-gram-counts")
 
@@ -354,9 +375,8 @@ def read_chunks(
     about = chunks.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("chunks")).first()
     placed = about["tokens"] or 0
     bits = min(64, SPARE_BITS + max(1, placed).bit_length())
-    bucket_bits = min(bits, max(0, math.ceil(math.log2(max(1, placed) / bucket_tokens))))
-    asked = chunks.mapInArrow(_ask(bits, bucket_bits), _ASKED)
-    answers = answers_of(asked, about["chunks"], most)
+    plan = levels(about["chunks"], placed, bits, bucket_tokens, most)
+    answers = answers_of(chunks.mapInArrow(_ask(bits, plan[0][1]), _ASKED), plan, bits)
     known = answers.where("chunk IS NULL AND size = 1").agg(F.sum("different").alias("different"), F.sum("total").alias("total")).first()
     total, different = known["total"] or 0, known["different"] or 0
     read = _read(total, different, bits, priors)
