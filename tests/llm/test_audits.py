@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
@@ -48,9 +49,21 @@ def test_trie_holds_every_text():
         seen[t] += 1
     assert dict(trie.walk()) == seen
     assert trie.bytes <= sum(map(len, seen))
+    assert len(seen) <= trie.nodes <= 2 * len(seen) + 1
+    assert trie.size == trie.bytes + text_tries.NODE_BYTES * trie.nodes
 
 
-@pytest.mark.parametrize("limits", [{}, {"local_bytes": 2_000, "range_bytes": 3_000}])
+def test_full_tries_close_between_prefixes():
+    """Two prefixes that are far above the limit: one trie each, and every copy found in it."""
+    names = ["text", "taken", "doc_id", "tag", "marks", "n"]
+    texts = sorted([b"aaaa%d" % (i % 40) for i in range(120)] + [b"bbbb%d" % (i % 40) for i in range(120)], key=lambda t: t[:4])
+    rows = pa.RecordBatch.from_pylist([dict(zip(names, (t, 4, i, "s", 0, 1))) for i, t in enumerate(texts)])
+    out = pa.Table.from_batches(text_tries._last_rows(1_000)(iter([rows.slice(0, 100), rows.slice(100)]))).to_pylist()
+    assert sorted(r["doc_id"] for r in out) == list(range(240))
+    assert all(r["copy"] == (r["doc_id"] % 120 >= 40) for r in out)
+
+
+@pytest.mark.parametrize("limits", [{}, {"local_bytes": 2_000, "range_bytes": 3_000}, {"local_bytes": 5_000, "range_bytes": 10**6}])
 def test_copies_against_all_pairs(spark, docs, limits):
     found = text_tries.mark_copies(docs, F.coalesce("source", F.lit("")), len, **limits)
     got = Counter()

@@ -2,8 +2,9 @@
 
 Every task first inserts its texts into tries of its own, so of a text's rows it passes on only those
 with its smallest id. These are dealt out by ranges of text prefixes; a prefix is as long as it must
-be to hold no more than a small part of all bytes. In each range the full texts go into one trie whose
-terminals hold the smallest id.
+be to hold no more than a small part of all bytes. A range is read in the order of its prefixes; full
+texts go into a trie whose terminals hold the smallest id, and where one is full, the next prefix
+starts a new one, so that a range may hold more than its share.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from ..session import store
 from .common import frugal, prepare_workers
 
-LOCAL_BYTES = 24 << 20  # of texts in a trie before the dealing out
-RANGE_BYTES = 32 << 20  # of texts in a range
+LOCAL_BYTES = 32 << 20  # of texts and nodes in a trie
+RANGE_BYTES = 128 << 20  # of texts and nodes in a range
+NODE_BYTES = 800  # what Python takes for a node, its edge and its value; more than the text of a short one
 SPLIT = 4  # a prefix may hold 1 / SPLIT of a range's share of the bytes
 FIRST_LENGTH, GROWTH = 4, 4  # bytes of the shortest prefix, and how much longer the next one is
 OUT_ROWS, OUT_BYTES = 4_000, 8 << 20
@@ -31,7 +33,11 @@ class TextTrie:
 
     def __init__(self):
         self.root: list = [None, {}]
-        self.bytes = 0
+        self.bytes, self.nodes = 0, 1
+
+    @property
+    def size(self) -> int:
+        return self.bytes + NODE_BYTES * self.nodes
 
     def terminal(self, text: bytes) -> list:
         """The node at the end of ``text``, made if it isn't there; its value can be set."""
@@ -42,12 +48,14 @@ class TextTrie:
                 leaf: list = [None, {}]
                 node[1][text[at]] = (text[at:], leaf)
                 self.bytes += len(text) - at
+                self.nodes += 1
                 return leaf
             label, below = edge
             if not text.startswith(label, at):
                 n = shared_start(label, text, at)
                 below = [None, {label[n]: (label[n:], below)}]
                 node[1][text[at]] = (label[:n], below)
+                self.nodes += 1
                 at += n
             else:
                 at += len(label)
@@ -145,7 +153,7 @@ def _first_rows(marks_of: Callable[[bytes], int], most: int):
                 if known:
                     out.put(None, *known, key is not None)
                 yield from out.ready()
-                if copies.trie.bytes >= most:
+                if copies.trie.size >= most:
                     yield from flush()
                     copies, marks = Copies(), {}
         yield from flush()
@@ -154,24 +162,38 @@ def _first_rows(marks_of: Callable[[bytes], int], most: int):
     return work
 
 
-@frugal
-def _last_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    copies, out = Copies(), _Out(slice(1, None))
-    for batch in batches:
-        for text, key, tag, marks, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            known = copies.add(text, key, Counter({(tag, marks): n}))
-            if known:
-                out.put(None, *known, True)
+def _last_rows(most: int):
+    """Per range, its rows in the order of their prefixes: equal texts have equal prefixes, so a trie that
+    is full can be closed where the next prefix starts."""
+
+    @frugal
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies, out, prefix = Copies(), _Out(slice(1, None)), None
+
+        def flush():
+            for _, (key, tags) in copies.trie.walk():
+                out.put(None, key, tags, False)
                 yield from out.ready()
-    for _, (key, tags) in copies.trie.walk():
-        out.put(None, key, tags, False)
-        yield from out.ready()
-    yield from out.ready(last=True)
+
+        for batch in batches:
+            for text, taken, key, tag, marks, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if copies.trie.size >= most and text[:taken] != prefix:
+                    yield from flush()
+                    copies = Copies()
+                prefix = text[:taken]
+                known = copies.add(text, key, Counter({(tag, marks): n}))
+                if known:
+                    out.put(None, *known, True)
+                    yield from out.ready()
+        yield from flush()
+        yield from out.ready(last=True)
+
+    return work
 
 
 def adaptive_prefix(rows: DataFrame, text: str, limit: float) -> DataFrame:
     """``rows`` with ``taken``, the length of the start of ``text`` that sorts it into a range: ``FIRST_LENGTH``
-    bytes, and more where rows that share them have more than ``limit`` bytes of texts.
+    bytes, and more where rows that share them have more than ``limit`` bytes of texts and nodes.
 
     It is a function of the text alone. Hashes of the prefixes above the limit, per length at most all
     bytes / limit of them, are stored and joined, by the optimizer's choice. Prefixes with equal hashes
@@ -182,7 +204,7 @@ def adaptive_prefix(rows: DataFrame, text: str, limit: float) -> DataFrame:
     while True:
         open_ = (F.col("taken") == length) & (size > length)
         name = F.xxhash64(F.substring(text, 1, length))
-        sums = out.where(open_).groupBy(name.alias("prefix")).agg(F.sum(size).alias("bytes"))
+        sums = out.where(open_).groupBy(name.alias("prefix")).agg(F.sum(size + NODE_BYTES).alias("bytes"))
         heavy = store(sums.where(F.col("bytes") > limit).select("prefix"), "heavy-prefixes")
         if heavy.isEmpty():
             return out
@@ -209,8 +231,9 @@ def mark_copies(
     first = store(rows.mapInArrow(_first_rows(marks_of, local_bytes), _ROW), "first-texts")
     known = first.where("text IS NULL").drop("text")
     open_rows = first.where("text IS NOT NULL").drop("copy")
-    total = open_rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = open_rows.agg(F.sum(F.octet_length("text") + F.lit(NODE_BYTES).cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / range_bytes))
     measured = adaptive_prefix(open_rows, "text", max(1.0, total / (SPLIT * parts)))
-    dealt = measured.repartitionByRange(parts, F.substring("text", F.lit(1), F.col("taken"))).drop("taken")
-    return known.unionByName(dealt.mapInArrow(_last_rows, _ROW.removeprefix("text binary, ")))
+    prefix = F.substring("text", F.lit(1), F.col("taken"))
+    dealt = measured.select("text", "taken", "doc_id", "tag", "marks", "n").repartitionByRange(parts, prefix).sortWithinPartitions(prefix)
+    return known.unionByName(dealt.mapInArrow(_last_rows(local_bytes), _ROW.removeprefix("text binary, ")))
