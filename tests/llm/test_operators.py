@@ -59,6 +59,23 @@ def test_one_row_per_row(spark, docs, labels):
     assert decontamination.without_leaks(docs, benchmark).columns == docs.columns
 
 
+def test_odd_characters(spark, labels):
+    """NUL, controls, unusual white space and marks, astral letters: every row is kept, words are counted alike."""
+    odd = ["a\0", "a", "\0", "a\0b the\0 the", "x\x1cy\x85z", "\u2028\u3000\xa0", "\u200b\ufeff", "e\u0301" * 30, "𝒳🙂 \U0010ffff", "\x7f\x0b\x0c"]
+    rows = [*enumerate(odd), *((100 + i, f"{t} {t} some more words of a text {t}") for i, t in enumerate(odd))]
+    df = store(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), "odd")
+    benchmark = spark.createDataFrame([(1, "\0" * 80), (2, "e\u0301" * 60)], "item_id long, text string")
+    for out in run_all(df, labels, benchmark):
+        assert sorted(r.doc_id for r in out.select("doc_id").collect()) == [i for i, _ in rows]
+    assert packing.pack_documents(df).select("doc_id").distinct().count() == len(rows)
+    assert {r.doc_id for r in decontamination.find_leaks(df, benchmark).select("doc_id").collect()} <= {i for i, _ in rows}
+    pieces = tokens.vocabulary("piece_bpe_32k.model")
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokens.token_counts(df).collect()}
+    assert got == {i: (len(t.split()), sum(pieces.one("▁" + w) for w in t.split())) for i, t in rows}
+    for r in pii.find_personal_data(df).collect() + secret_scan.find_secrets(df).collect():
+        assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 def test_empty_tables(spark, empty, labels):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     for out in run_all(empty, labels.limit(0), benchmark):

@@ -54,6 +54,12 @@ def test_trie_counts_equal_word_by_word_counts():
     assert pieces.many(sorted(words)) == {w: pieces.one(w) for w in words}
 
 
+def test_trie_tells_nul_characters_from_the_end():
+    pieces = tokens.vocabulary("piece_bpe_32k.model")
+    for words in (["▁a", "▁a\0"], ["▁a\0", "▁a\0\0"], ["▁\0"], ["▁\0a", "▁a", "▁a\0b", "▁the", "▁the\0"]):
+        assert pieces.many(words) == {w: pieces.one(w) for w in words}
+
+
 def test_count_of_a_very_long_pretoken():
     pieces = tokens.vocabulary("piece_bpe_32k.model")
     char = "\U000e0001"

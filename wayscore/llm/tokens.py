@@ -26,6 +26,7 @@ MARK = "▁"
 COUNT_BITS = 20
 UNKNOWN_COST = 14_000  # per byte of a character that is in no piece
 CACHE = 400_000
+PADDING = np.uint32(0xFFFFFFFF)  # no character, unlike the 0 that numpy fills up with
 ALONE = 64  # longer words take the same recurrence one by one
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,6 +92,7 @@ class Vocabulary:
         sizes = np.array([len(w) for w in words])
         width = int(sizes.max())
         letters = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
+        letters[np.arange(width) >= sizes[:, None]] = PADDING
         # Sorted words share a node exactly as far as they agree with the word before.
         shared = np.full(len(words), -1)
         if len(words) > 1:
