@@ -83,6 +83,23 @@ def test_null_users_can_be_hot(points):
     assert by_id(lagged, "prev_lat", "prev_lon", "point_no") == brute_force(rows)
 
 
+def test_short_runs_need_no_part_each(points):
+    """The driver gets a sample of keys, a task result and a file per part."""
+    rows = skewed(2000)
+    lagged = tracks.add_previous_point(points(rows), hot_rows=7, run_rows=5)
+    assert len([f for f in lagged.inputFiles() if "/track-runs-" in f]) <= 2
+    assert by_id(lagged, "prev_lat", "prev_lon", "point_no") == brute_force(rows)
+
+
+@pytest.mark.parametrize("run_rows, part_rows", [(1, 1), (5, 60), (7, 30), (60, 5)])
+def test_runs_and_parts_of_any_size(points, run_rows, part_rows):
+    rows = skewed()
+    lagged = tracks.add_previous_point(
+        points(rows).repartition(3), hot_rows=7, run_rows=run_rows, part_rows=part_rows
+    )
+    assert by_id(lagged, "prev_lat", "prev_lon", "point_no") == brute_force(rows)
+
+
 def test_hot_track_is_spread(points):
     rows = [(i, "hot", 5, 25.0, 121.0, "Taipei") for i in range(1000)]
     cut = ranking.store_ordered(

@@ -26,6 +26,11 @@ def store_ordered(
     return marked.withColumn("part", F.shiftright("row_mark", 33))
 
 
+def row_in_part() -> Column:
+    """The 0-based number of a stored row in its part, from ``row_mark``."""
+    return F.col("row_mark").bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def add_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Number all rows 1..N in a total order without gathering them.
 
@@ -38,10 +43,9 @@ def add_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     starts = sizes.select(
         "part", F.coalesce(F.sum("part_rows").over(earlier), F.lit(0)).alias("rows_before")
     )
-    row_in_part = F.col("row_mark").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         ordered.join(F.broadcast(starts), "part")
-        .withColumn(name, F.col("rows_before") + row_in_part + 1)
+        .withColumn(name, F.col("rows_before") + row_in_part() + 1)
         .select(*df.columns, name)
     )
 

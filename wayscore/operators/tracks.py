@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayscore.functions.geo import at_origin, distance_km, located
-from wayscore.operators.ranking import store_ordered
+from wayscore.operators.ranking import row_in_part, store_ordered
 from wayscore.session import store
 
 # Tracks above this many rows are cut into runs of this many rows.
 HOT_TRACK_ROWS = 10_000_000
 RUN_ROWS = 10_000_000
+# Shorter runs share tasks of about this many rows.
+PART_ROWS = 250_000
 
 
 def track_order(points: DataFrame) -> list[str]:
@@ -59,32 +61,37 @@ def _within_tracks(points: DataFrame, key: str, order: Sequence[str]) -> DataFra
     )
 
 
-def _within_runs(points: DataFrame, key: str, order: Sequence[str], runs: int) -> DataFrame:
+def _within_runs(
+    points: DataFrame, key: str, order: Sequence[str], run_rows: int, parts: int
+) -> DataFrame:
     """Previous point and number of points whose tracks span several tasks.
 
     Range partitioning on (key, order) cuts a track at any point, also among
-    equal times. A part of that order is a run; a track goes on in the next run
-    where the last one ended.
+    equal times. Every ``run_rows`` rows of a part of that order are a run, named
+    by the mark of its first row; a track goes on in the next run where the last
+    one ended. The driver gets a sample of keys, a task result and a file per
+    part, so the number of parts does not follow from that of short runs.
     """
-    ordered = store_ordered(points, "track-runs", key, *order, parts=runs)
+    ordered = store_ordered(points, "track-runs", key, *order, parts=parts)
+    ordered = ordered.withColumn("run_mark", F.col("row_mark") - row_in_part() % run_rows)
     # The first row of a track in a run takes what the track carried there, so the
     # window need not tell the tracks of a run apart.
-    at = Window.partitionBy("part").orderBy("row_mark")
-    # As many partitions as runs, so that runs do not pile up in a task.
-    inside = ordered.repartition(runs, "part").withColumns(
+    at = Window.partitionBy("run_mark").orderBy("row_mark")
+    # As many partitions as parts, so that long runs do not pile up in a task.
+    inside = ordered.repartition(parts, "run_mark").withColumns(
         {"run_lat": F.lag("latitude").over(at), "run_lon": F.lag("longitude").over(at)}
     )
     # One row per run and track in it, stored so that its size is known to the join.
-    ends = ordered.groupBy("part", key).agg(
+    ends = ordered.groupBy("run_mark", key).agg(
         F.count(F.lit(1)).alias("run_rows"),
         F.min("row_mark").alias("first_mark"),
         F.max_by("latitude", "row_mark").alias("last_lat"),
         F.max_by("longitude", "row_mark").alias("last_lon"),
     )
-    along = Window.partitionBy(key).orderBy("part")
+    along = Window.partitionBy(key).orderBy("run_mark")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        F.col("part").alias("carry_part"),
+        F.col("run_mark").alias("carry_run"),
         F.col(key).alias("carry_key"),
         "first_mark",
         F.lag("last_lat").over(along).alias("carried_lat"),
@@ -94,7 +101,7 @@ def _within_runs(points: DataFrame, key: str, order: Sequence[str], runs: int) -
     carry = store(carried, "run-ends")
     stitched = inside.join(
         carry,
-        (inside["part"] == carry["carry_part"]) & inside[key].eqNullSafe(carry["carry_key"]),
+        (inside["run_mark"] == carry["carry_run"]) & inside[key].eqNullSafe(carry["carry_key"]),
     )
     first = F.col("row_mark") == F.col("first_mark")
     return stitched.select(
@@ -111,17 +118,22 @@ def add_previous_point(
     order: Sequence[str] | None = None,
     hot_rows: int = HOT_TRACK_ROWS,
     run_rows: int = RUN_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Add ``prev_lat``, ``prev_lon`` and the 1-based ``point_no`` of each point."""
+    """Add ``prev_lat``, ``prev_lon`` and the 1-based ``point_no`` of each point.
+
+    Hot tracks are cut into runs of at most ``run_rows`` rows; a task takes one
+    run, or as many short ones as make about ``part_rows`` rows.
+    """
     order = list(order or track_order(points))
     hot = hot_tracks(points, key, hot_rows)
     total = hot.agg(F.sum("track_rows")).first()[0]
     if not total:
         return _within_tracks(points, key, order)
     same = _is_hot(points, hot, key)
-    runs = math.ceil(total / run_rows) + 1
+    parts = math.ceil(total / max(run_rows, part_rows)) + 1
     calm = _within_tracks(points.join(hot, same, "left_anti"), key, order)
-    busy = _within_runs(points.join(hot, same, "left_semi"), key, order, runs)
+    busy = _within_runs(points.join(hot, same, "left_semi"), key, order, run_rows, parts)
     return calm.unionByName(busy)
 
 
